@@ -28,6 +28,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.substring_dedup import remove_seen
+
+    return remove_seen(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwright.llm.hmm import score
 
