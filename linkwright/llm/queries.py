@@ -46,6 +46,12 @@ def op7_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.jaccard_join import join_components
+
+    return join_components(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwright.llm.packing import pack_documents
 
