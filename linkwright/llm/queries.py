@@ -28,6 +28,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.language import identify
+
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    found = identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.vptree import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwright.llm.suffix_dedup import remove_repeats
 
@@ -46,6 +66,12 @@ def op7_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwright.llm.jaccard_join import join_components
 
