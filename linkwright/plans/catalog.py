@@ -1,9 +1,377 @@
-"""The catalogue of queries over the driver's tables."""
+"""The catalogue: one query an operator over the driver's tables, and the same in DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from linkwright.functions import columns as C
+from linkwright.functions.constants import RESUME_EMAIL, RESUME_PHONE, SKILLS, STOPLIST
+from linkwright.operators import extract, linkage, project, report, resolve, search, suggest, validate
+from linkwright.operators.checkpoint import saved
+from linkwright.plans.pipeline import records_of
+from linkwright.sources.derived import ATS, CSV, RESUME, REST, derived
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def joined(array, sep="|"):
+    return F.array_join(array, sep)
+
+
+# ---- oracle text ----
+def title_sql(c: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({c}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '')"
+
+
+SKILL_CASE = "CASE k " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SKILLS.items()) + f" ELSE {title_sql('k')} END"
+
+
+def phone_sql(c: str) -> str:
+    plain = f"regexp_replace({c}, '[\\s().-]', '', 'g')"
+    bare = f"regexp_replace({plain}, '^0', '')"
+    return f"CASE WHEN {plain} LIKE '+%' THEN CASE WHEN regexp_matches({plain}, '^\\+91[6-9][0-9]{{9}}$') OR (regexp_matches({plain}, '^\\+[1-9][0-9]{{7,14}}$') AND {plain} NOT LIKE '+91%' AND {plain} NOT LIKE '+1%') OR (regexp_matches({plain}, '^\\+1[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') AND {plain} NOT LIKE '+1555%') THEN {plain} END WHEN regexp_matches({bare}, '^[6-9][0-9]{{9}}$') THEN '+91' || {bare} END"
+
+
+def scrub(c: str) -> str:
+    return f"nullif(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')"
+
+
+RECORDS = f"""csv AS ({CSV}), ats AS ({ATS}), raw AS (
+ SELECT ext_seq, md5(concat_ws('|', coalesce(current_company, ''), coalesce(email, ''), coalesce(github_url, ''), coalesce(location, ''), coalesce(name, ''), coalesce(phone, ''), coalesce(title, ''))) AS ext_id, 'recruiter.csv' AS source, 1.0::DOUBLE AS base, 2.0::DOUBLE AS priority,
+  {scrub('name')} AS name, {scrub('email')} AS email, CASE WHEN contains({scrub('email')}, '@') THEN 1.0 ELSE 0.4 END::DOUBLE AS email_confidence, {scrub('phone')} AS phone, {scrub('github_url')} AS github,
+  trim(split_part({scrub('location')}, ',', 1)) || ', ' || trim(split_part({scrub('location')}, ',', -1)) AS location, {scrub('current_company')} AS company, {scrub('title')} AS title, []::VARCHAR[] AS tags FROM csv
+ UNION ALL
+ SELECT ext_seq + 1000000000000, ats_record_id, 'ats.json', 0.95::DOUBLE, 1.5::DOUBLE, {scrub('display_name')}, {scrub('primary_email')}, CASE WHEN {scrub('primary_email')} IS NOT NULL THEN 0.95::DOUBLE END, {scrub('mobile')}, NULL, {scrub('geo')}, {scrub('employer')}, NULL, [tag1, tag2] FROM ats),
+rec AS (SELECT ext_seq, ext_id, source, base, priority, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, lower(trim(email)) AS email, email_confidence, {phone_sql('phone')} AS phone, github, location, company, title, tags FROM raw),
+ids AS (SELECT DISTINCT kind, value, ext_seq FROM (SELECT 'github' AS kind, lower(trim(github)) AS value, ext_seq FROM rec UNION ALL SELECT 'email', email, ext_seq FROM rec UNION ALL SELECT 'phone', phone, ext_seq FROM rec) WHERE value <> '')"""
+CLUSTERS = f"""WITH RECURSIVE {RECORDS},
+edges AS (SELECT DISTINCT a.ext_seq AS src, b.ext_seq AS dst FROM ids a JOIN ids b USING (kind, value)),
+reach AS (SELECT ext_seq AS src, ext_seq AS dst FROM rec UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src),
+clu AS (SELECT src AS ext_seq, min(dst) AS cluster FROM reach GROUP BY src),
+skill AS (SELECT ext_seq, source, base, pos, {SKILL_CASE} AS value FROM (SELECT ext_seq, source, base, i - 1 AS pos, lower(trim(tags[i])) AS k FROM rec, range(1, 3) t(i) WHERE i <= len(tags))),
+vals AS (SELECT cluster, field, value, source, priority, confidence, ext_seq * 1000 + pos AS ord FROM (
+  SELECT ext_seq, source, priority, 'full_name' AS field, name AS value, base AS confidence, 0 AS pos FROM rec UNION ALL SELECT ext_seq, source, priority, 'emails', email, email_confidence, 0 FROM rec
+  UNION ALL SELECT ext_seq, source, priority, 'phones', phone, base, 0 FROM rec UNION ALL SELECT ext_seq, source, priority, 'location', location, base, 0 FROM rec
+  UNION ALL SELECT ext_seq, source, 1.5, 'skills', value, base, pos FROM skill) JOIN clu USING (ext_seq) WHERE value IS NOT NULL),
+bysrc AS (SELECT cluster, field, lower(trim(value)) AS k, source, priority, max(confidence) AS c, min(ord) AS first, max(ord) AS last, max_by(value, ord) AS value FROM vals GROUP BY ALL),
+groups AS (SELECT cluster, field, k, max_by(value, last) AS value, min(first) AS first, max(priority) AS priority, list(source ORDER BY source) AS sources,
+  CASE WHEN count(*) = 1 THEN max(c) ELSE 1.0::DOUBLE - list_reduce(list_prepend(1.0::DOUBLE, list(c ORDER BY source)), lambda a, x: a * (1.0::DOUBLE - x)) END AS confidence FROM bysrc GROUP BY cluster, field, k),
+lists AS (SELECT cluster, field, value, confidence, first, sources FROM groups WHERE field IN ('emails', 'phones', 'skills')),
+scal AS (SELECT cluster, field, k, value, CASE WHEN count(*) OVER w > 1 THEN confidence * 0.9::DOUBLE ELSE confidence END AS confidence, sources, row_number() OVER (PARTITION BY cluster, field ORDER BY priority DESC, first) = 1 AS won FROM groups WHERE field IN ('full_name', 'location') WINDOW w AS (PARTITION BY cluster, field)),
+keys AS (SELECT cluster, min_by(lower(trim(github)), ext_seq) FILTER (github IS NOT NULL) AS g, min_by(email, ext_seq) FILTER (email IS NOT NULL AND email <> '') AS e, min_by(phone, ext_seq) FILTER (phone IS NOT NULL) AS p, min_by(ext_id, ext_seq) AS x FROM rec JOIN clu USING (ext_seq) GROUP BY cluster),
+joinkeys AS (SELECT cluster, coalesce('github:' || g, 'email:' || e, 'phone:' || p, 'ext:' || x) AS join_key FROM keys),
+hashed AS (SELECT cluster, join_key, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(join_key)) AS h FROM joinkeys),
+idents AS (SELECT cluster, join_key, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ((position(substr(h, 17, 1) IN '0123456789abcdef') - 1) % 4 + 1)::INT, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS candidate_id FROM hashed),
+ent AS (SELECT i.cluster, i.candidate_id, i.join_key, n.value AS full_name, n.confidence AS name_conf, n.sources AS name_sources, l.value AS location, l.sources AS location_sources,
+  (SELECT list(value ORDER BY first) FROM lists x WHERE x.cluster = i.cluster AND field = 'emails') AS emails, (SELECT list(value ORDER BY first) FROM lists x WHERE x.cluster = i.cluster AND field = 'phones') AS phones,
+  (SELECT list(value ORDER BY first) FROM lists x WHERE x.cluster = i.cluster AND field = 'skills') AS skills,
+  coalesce((SELECT max(confidence) FROM lists x WHERE x.cluster = i.cluster AND field = 'emails'), 0) AS ec, coalesce((SELECT max(confidence) FROM lists x WHERE x.cluster = i.cluster AND field = 'phones'), 0) AS pc,
+  coalesce((SELECT list_reduce(list_prepend(0.0::DOUBLE, list(confidence ORDER BY first)), lambda a, x: a + x) / nullif(count(*), 0) FROM lists x WHERE x.cluster = i.cluster AND field = 'skills'), 0) AS sc, g.github
+  FROM idents i LEFT JOIN scal n ON n.cluster = i.cluster AND n.field = 'full_name' AND n.won LEFT JOIN scal l ON l.cluster = i.cluster AND l.field = 'location' AND l.won
+  LEFT JOIN (SELECT cluster, max_by(github, (priority, ext_seq)) AS github FROM rec JOIN clu USING (ext_seq) WHERE github IS NOT NULL GROUP BY cluster) g ON g.cluster = i.cluster),
+entity AS (SELECT *, round_even(greatest(0, least(1, (coalesce(name_conf, 0) + ec + pc + sc) / 4.0)), 3) AS overall_confidence FROM ent),
+flagged AS (SELECT *, overall_confidence < 0.5 OR coalesce(full_name, '') = '' OR emails IS NULL AS needs_human_review FROM entity)
+"""
+
+
+def entity_table(spark, sf_dir) -> DataFrame:
+    records = records_of(spark, sf_dir)
+    clusters = saved(linkage.component_clusters(records), "clusters")
+    return resolve.entities(records, clusters, linkage.cluster_ids(records, clusters))
+
+
+def grouped(spark, sf_dir):
+    records = records_of(spark, sf_dir)
+    vals = resolve.values(records, saved(linkage.component_clusters(records), "clusters"))
+    return vals, resolve.supported(vals)
+
+
+# ---- extraction ----
+@query(f"WITH {RECORDS} SELECT ext_seq, ext_id, name, email, email_confidence, phone, github, location, company, title FROM raw WHERE source = 'recruiter.csv'")
+def csv_extract(spark, sf_dir):
+    return extract.csv_records(derived(spark, sf_dir, "csv")).select("ext_seq", "ext_id", "name", "email", "email_confidence", "phone", "github", "location", "company", "title")
+
+
+@query(f"WITH {RECORDS} SELECT ext_seq, ext_id, name, email, phone, location, company, array_to_string(tags, '|') AS skills FROM raw WHERE source = 'ats.json'")
+def ats_extract(spark, sf_dir):
+    return extract.ats_records(derived(spark, sf_dir, "ats")).select("ext_seq", "ext_id", "name", "email", "phone", "location", "company", joined("skills").alias("skills"))
+
+
+@query(f"WITH {RECORDS} SELECT ext_seq, source, name, email, phone FROM rec")
+def normalized_records(spark, sf_dir):
+    return records_of(spark, sf_dir).select("ext_seq", "source", "name", "email", "phone")
+
+
+@query(f"""WITH src AS ({REST}), c AS (SELECT username, lower(language) AS language, count(*) AS n, min(o_orderkey * 100000000000 + l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) AS first FROM src GROUP BY ALL)
+SELECT username, language, n, row_number() OVER (PARTITION BY username ORDER BY n DESC, first) AS rank FROM c QUALIFY rank <= 10""")
+def rest_top10_languages(spark, sf_dir):
+    place = F.expr("cast(o_orderkey as decimal(38, 0)) * 100000000000 + l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey")
+    return extract.top_languages(derived(spark, sf_dir, "rest").withColumn("place", place))
+
+
+@query(f"WITH {RECORDS} SELECT DISTINCT regexp_extract(rtrim(trim(github), '/'), '[^/]+$') AS username FROM raw WHERE github IS NOT NULL")
+def rest_fanout_usernames(spark, sf_dir):
+    return extract.usernames(records_of(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{RESUME_EMAIL}', 0))), '|') AS emails FROM documents")
+def text_email_extract(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", joined(F.array_sort(extract.resume_emails(F.col("text")))).alias("emails"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{RESUME_PHONE}', 0))), '|') AS phones FROM documents")
+def text_phone_extract(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", joined(F.array_sort(extract.resume_phones(F.col("text")))).alias("phones"))
+
+
+@query(f"""WITH src AS ({RESUME}) SELECT ext_seq, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND len(regexp_split_to_array(x, '\\s+')) <= 4 AND NOT regexp_matches(x, '\\d') AND NOT regexp_matches(x, '{RESUME_EMAIL}'))[1] AS name FROM src""")
+def text_name_heuristic(spark, sf_dir):
+    return derived(spark, sf_dir, "resume").select("ext_seq", extract.resume_name(F.col("text")).alias("name"))
+
+
+LINES = f"""src AS ({RESUME}), lines AS (SELECT ext_seq, (i - 1)::INT AS pos, string_split(text, chr(10))[i] AS line FROM src, range(1, 100) t(i) WHERE i <= len(string_split(text, chr(10)))),
+head AS (SELECT *, CASE WHEN rtrim(lower(trim(regexp_replace(line, '^[^a-zA-Z0-9]+', ''))), ':') IN ('skills', 'technical skills', 'experience', 'work experience', 'projects', 'education', 'achievements', 'certifications', 'publications', 'summary', 'objective', 'contact') THEN rtrim(lower(trim(regexp_replace(line, '^[^a-zA-Z0-9]+', ''))), ':') END AS header FROM lines),
+carried AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY ext_seq ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM head)"""
+
+
+@query(f"WITH {LINES} SELECT ext_seq, pos, line, header, section FROM carried")
+def text_section_carry(spark, sf_dir):
+    return extract.resume_lines(derived(spark, sf_dir, "resume"))
+
+
+@query(f"""WITH {LINES}, items AS (SELECT ext_seq, pos, (j - 1)::INT AS item, trim(string_split(regexp_replace(regexp_replace(line, '^[^:]*:', ''), '[,•|;]', ',', 'g'), ',')[j]) AS token FROM carried, range(1, 20) t(j)
+ WHERE header IS NULL AND section IN ('skills', 'technical skills') AND j <= len(string_split(regexp_replace(regexp_replace(line, '^[^:]*:', ''), '[,•|;]', ',', 'g'), ',')))
+SELECT ext_seq, pos, item, token FROM items WHERE token <> '' AND len(regexp_split_to_array(token, '\\s+')) <= 4 AND NOT regexp_matches(token, '\\d{{3,}}')""")
+def text_skill_tokens(spark, sf_dir):
+    return extract.resume_skills(derived(spark, sf_dir, "resume"))
+
+
+@query(f"WITH {LINES} SELECT DISTINCT ext_seq, trim(line) AS institution FROM carried WHERE header IS NULL AND section = 'education' AND trim(line) <> ''")
+def text_education(spark, sf_dir):
+    return extract.resume_education(derived(spark, sf_dir, "resume"))
+
+
+# ---- functions ----
+@query(f"SELECT DISTINCT p_name, {title_sql('p_name')} AS title FROM part")
+def title_case(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", C.title_case(F.col("p_name")).alias("title")).distinct()
+
+
+@query(f"WITH ats AS ({ATS}), t AS (SELECT tag1 AS raw FROM ats UNION SELECT tag2 FROM ats) SELECT raw, {SKILL_CASE} AS skill FROM (SELECT raw, lower(trim(raw)) AS k FROM t)")
+def norm_skill_alias(spark, sf_dir):
+    ats = derived(spark, sf_dir, "ats")
+    return ats.select(F.col("tag1").alias("raw")).union(ats.select("tag2")).distinct().select("raw", C.skill(F.col("raw")).alias("skill"))
+
+
+@query(f"""WITH csv AS ({CSV}), ats AS ({ATS}), l AS (SELECT location AS raw FROM csv UNION SELECT geo FROM ats UNION SELECT 'Springfield' UNION SELECT 'Paris, USA' UNION SELECT 'a, b, c, UK' UNION SELECT 'a, b, c, Nowhere'), p AS (SELECT raw, list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> '') AS q FROM l),
+c AS (SELECT *, CASE WHEN len(q) > 1 THEN CASE lower(q[-1]) WHEN 'usa' THEN 'US' WHEN 'uk' THEN 'GB' END END AS country FROM p)
+SELECT raw, q[1] AS city, CASE WHEN len(q) = 2 AND country IS NULL THEN q[2] WHEN len(q) > 2 THEN array_to_string(CASE WHEN country IS NULL THEN q[2:] ELSE q[2:-2] END, ', ') END AS region, country FROM c""")
+def norm_location(spark, sf_dir):
+    more = spark.sql("SELECT explode(array('Springfield', 'Paris, USA', 'a, b, c, UK', 'a, b, c, Nowhere')) AS raw")
+    rows = derived(spark, sf_dir, "csv").select(F.col("location").alias("raw")).union(derived(spark, sf_dir, "ats").select("geo")).union(more).distinct()
+    return rows.select("raw", C.location(F.col("raw"), C.iso_countries(spark)).alias("l")).select("raw", "l.*")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS a, strftime(o_orderdate, '%Y-%m') AS b, strftime(o_orderdate, '%Y-%m') AS c FROM orders""")
+def norm_date(spark, sf_dir):
+    d = F.col("o_orderdate")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", *[C.year_month(F.date_format(d, f)).alias(n) for n, f in (("a", "MMM yyyy"), ("b", "MM/yyyy"), ("c", "yyyy-MM"))])
+
+
+@query(f"WITH {RECORDS} SELECT ext_seq, {phone_sql('phone')} AS e164 FROM raw")
+def norm_phone(spark, sf_dir):
+    return records_of(spark, sf_dir).select("ext_seq", F.col("phone").alias("e164"))
+
+
+# ---- identity ----
+@query(f"WITH {RECORDS} SELECT kind, value, ext_seq FROM ids")
+def identifier_table(spark, sf_dir):
+    return linkage.identifiers(records_of(spark, sf_dir))
+
+
+@query(CLUSTERS + "SELECT ext_seq, cluster FROM clu")
+def cluster_components(spark, sf_dir):
+    return linkage.component_clusters(records_of(spark, sf_dir))
+
+
+@query()
+def cluster_greedy(spark, sf_dir):
+    return linkage.greedy_clusters(records_of(spark, sf_dir))
+
+
+@query(CLUSTERS + "SELECT cluster, join_key, candidate_id FROM idents")
+def uuid5_ids(spark, sf_dir):
+    records = records_of(spark, sf_dir)
+    return linkage.cluster_ids(records, linkage.component_clusters(records))
+
+
+INDEX = "idx AS (SELECT kind, value, 'old-' || CAST(min(ext_seq) % 97 AS VARCHAR) AS candidate_id FROM ids WHERE ext_seq % 2 = 0 GROUP BY kind, value)"
+
+
+def old_index(records):
+    return linkage.identifiers(records).filter("ext_seq % 2 = 0").groupBy("kind", "value").agg(F.concat(F.lit("old-"), (F.min("ext_seq") % 97).cast("string")).alias("candidate_id"))
+
+
+@query(CLUSTERS + f", {INDEX} SELECT cluster, candidate_id AS owner FROM ids JOIN clu USING (ext_seq) JOIN idx USING (kind, value) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY CASE kind WHEN 'github' THEN 0 WHEN 'email' THEN 1 ELSE 2 END, ext_seq, value) = 1")
+def identity_lookup_priority(spark, sf_dir):
+    records = records_of(spark, sf_dir)
+    return linkage.prioritized_owner(linkage.identifiers(records).join(linkage.component_clusters(records), "ext_seq"), old_index(records))
+
+
+@query(CLUSTERS + f", {INDEX} SELECT cluster, array_to_string(list_sort(list(DISTINCT candidate_id)), '|') AS owners FROM ids JOIN clu USING (ext_seq) JOIN idx USING (kind, value) GROUP BY cluster HAVING count(DISTINCT candidate_id) > 1")
+def bridge_conflicts(spark, sf_dir):
+    records = records_of(spark, sf_dir)
+    found = linkage.bridging_conflicts(linkage.identifiers(records).join(linkage.component_clusters(records), "ext_seq"), old_index(records))
+    return found.select("cluster", joined("owners").alias("owners"))
+
+
+@query(f"WITH {RECORDS}, {INDEX}, new AS (SELECT kind, value, 'new' AS candidate_id FROM ids WHERE ext_seq % 3 = 0 GROUP BY ALL) SELECT * FROM new UNION ALL SELECT * FROM idx WHERE (kind, value) NOT IN (SELECT (kind, value) FROM new)")
+def identifier_upsert(spark, sf_dir):
+    records = records_of(spark, sf_dir)
+    new = linkage.identifiers(records).filter("ext_seq % 3 = 0").withColumn("candidate_id", F.lit("new"))
+    return linkage.upsert(old_index(records), new, ["kind", "value"], "ext_seq")
+
+
+# ---- resolution ----
+@query(CLUSTERS + "SELECT cluster, field, value, round(confidence, 9) AS confidence, array_to_string(sources, '|') AS sources FROM lists")
+def list_field_group(spark, sf_dir):
+    return resolve.list_fields(grouped(spark, sf_dir)[1]).select("cluster", "field", "value", F.round("confidence", 9).alias("confidence"), joined("sources").alias("sources"))
+
+
+@query(CLUSTERS + "SELECT cluster, field, value, round(confidence, 9) AS confidence, won FROM scal")
+def scalar_resolve(spark, sf_dir):
+    return resolve.scalar_fields(grouped(spark, sf_dir)[1]).select("cluster", "field", "value", F.round("confidence", 9).alias("confidence"), "won")
+
+
+@query(CLUSTERS + "SELECT v.cluster, v.field, s.value, v.source, v.confidence FROM vals v JOIN scal s ON v.cluster = s.cluster AND v.field = s.field AND lower(trim(v.value)) = s.k WHERE NOT s.won")
+def conflict_rows(spark, sf_dir):
+    vals, groups = grouped(spark, sf_dir)
+    return resolve.conflicts(vals, resolve.scalar_fields(groups))
+
+
+@query(CLUSTERS + "SELECT cluster, max_by(github, (priority, ext_seq)) AS github FROM rec JOIN clu USING (ext_seq) WHERE github IS NOT NULL GROUP BY cluster")
+def links_merge(spark, sf_dir):
+    records = records_of(spark, sf_dir)
+    return resolve.links(records, linkage.component_clusters(records))
+
+
+@query(CLUSTERS + "SELECT cluster, string_agg(coalesce(company, '') || '/' || coalesce(title, ''), '|' ORDER BY first, company) AS experience FROM (SELECT cluster, company, title, min(ext_seq) AS first FROM rec JOIN clu USING (ext_seq) WHERE company IS NOT NULL OR title IS NOT NULL GROUP BY ALL) GROUP BY cluster")
+def experience_distinct(spark, sf_dir):
+    records = records_of(spark, sf_dir)
+    found = resolve.experience(records, linkage.component_clusters(records))
+    return found.select("cluster", joined(F.transform("experience", lambda x: F.concat(F.coalesce(x["company"], F.lit("")), F.lit("/"), F.coalesce(x["title"], F.lit(""))))).alias("experience"))
+
+
+@query(CLUSTERS + "SELECT candidate_id, overall_confidence, needs_human_review FROM flagged")
+def review_flag(spark, sf_dir):
+    return entity_table(spark, sf_dir).select("candidate_id", "overall_confidence", "needs_human_review")
+
+
+@query(CLUSTERS + "SELECT candidate_id, full_name, array_to_string(emails, '|') AS emails, array_to_string(phones, '|') AS phones, location, github, array_to_string(skills, '|') AS skills, overall_confidence FROM flagged")
+def default_projection(spark, sf_dir):
+    p = project.default_projection(entity_table(spark, sf_dir))
+    blank = lambda c: F.nullif(joined(c), F.lit(""))
+    return p.select("candidate_id", "full_name", blank("emails").alias("emails"), blank("phones").alias("phones"), "location", "github", blank(F.transform("skills", lambda s: s["name"])).alias("skills"), "overall_confidence")
+
+
+CONFIG = {"fields": [{"path": "full_name", "from": "full_name.value"}, {"path": "primary_email", "from": "emails[0].value", "required": True}, {"path": "skills", "from": "skills[].value", "normalize": "canonical"}, {"path": "nothing", "from": "emails.x"}], "include_confidence": True, "on_missing": "null"}
+
+
+@query(CLUSTERS + "SELECT full_name, round(name_conf, 9) AS name_confidence, emails[1] AS primary_email, array_to_string(list_transform(skills, lambda s: CASE lower(s) WHEN 'aws' THEN 'AWS' WHEN 'javascript' THEN 'JavaScript' ELSE " + title_sql("lower(s)") + " END), '|') AS skills FROM flagged")
+def config_projection(spark, sf_dir):
+    p = project.project(entity_table(spark, sf_dir), CONFIG)
+    return p.select("full_name", F.round("full_name_confidence", 9).alias("name_confidence"), "primary_email", joined("skills").alias("skills"))
+
+
+@query(CLUSTERS + "SELECT count(*) AS total, count_if(emails IS NOT NULL) AS with_email, count_if(github IS NOT NULL) AS with_github, round_even(avg(overall_confidence), 6) AS avg_confidence, count_if(needs_human_review) AS flagged, 0::BIGINT AS three_way FROM flagged")
+def health_summary(spark, sf_dir):
+    return report.summary(entity_table(spark, sf_dir))
+
+
+@query(CLUSTERS + "SELECT candidate_id, true AS valid FROM flagged")
+def validate_schema(spark, sf_dir):
+    return validate.validated(project.default_projection(entity_table(spark, sf_dir))).select("candidate_id", "valid")
+
+
+@query("SELECT true AS valid, 0::BIGINT AS invalid")
+def validate_global(spark, sf_dir):
+    return validate.run_verdict(validate.validated(project.default_projection(entity_table(spark, sf_dir))))
+
+
+@query()
+def explain_text(spark, sf_dir):
+    vals, groups = grouped(spark, sf_dir)
+    return report.explanations(entity_table(spark, sf_dir), resolve.conflicts(vals, resolve.scalar_fields(groups)))
+
+
+# ---- suggestions ----
+ATTRS = "attrs AS (SELECT DISTINCT cluster, 'company' AS kind, lower(trim(company)) AS value FROM rec JOIN clu USING (ext_seq) WHERE company <> '' UNION SELECT DISTINCT cluster, 'skill', lower(trim(value)) FROM lists WHERE field = 'skills' UNION SELECT cluster, 'country', lower(trim(split_part(location, ',', -1))) FROM ent WHERE location IS NOT NULL)"
+
+
+@query(CLUSTERS + f", {ATTRS} SELECT kind, value, n, CASE WHEN value IN {STOPLIST} THEN 0.0::DOUBLE ELSE greatest(0.05::DOUBLE, 1.0::DOUBLE / n) END AS informativeness FROM (SELECT kind, value, count(*) AS n FROM attrs GROUP BY kind, value)")
+def doc_frequency(spark, sf_dir):
+    return suggest.document_frequency(suggest.attributes(entity_table(spark, sf_dir)))
+
+
+@query(CLUSTERS + f""", {ATTRS}, df AS (SELECT kind, value, count(*) AS n, greatest(0.05::DOUBLE, 1.0::DOUBLE / count(*)) AS inf FROM attrs GROUP BY ALL), held AS (SELECT * FROM attrs JOIN df USING (kind, value)),
+pairs AS (SELECT DISTINCT x.cluster AS a, y.cluster AS b FROM held x JOIN held y ON x.kind = 'company' AND y.kind = 'company' AND x.value = y.value AND x.cluster < y.cluster WHERE x.n BETWEEN 2 AND 6)
+SELECT a, b, x.kind, max(x.inf) AS informativeness FROM pairs JOIN held x ON x.cluster = a JOIN held y ON y.cluster = b AND x.kind = y.kind AND x.value = y.value GROUP BY a, b, x.kind""")
+def shared_attribute_pairs(spark, sf_dir):
+    return suggest.shared_attributes(suggest.attributes(entity_table(spark, sf_dir)))
+
+
+@query()
+def dup_suggestions(spark, sf_dir):
+    return suggest.suggestions(entity_table(spark, sf_dir)).select("a", "b", "score", joined("signals").alias("signals"))
+
+
+# ---- search ----
+@query(CLUSTERS + "SELECT candidate_id FROM flagged WHERE list_contains(skills, 'JavaScript')")
+def skill_search(spark, sf_dir):
+    return search.with_skill(entity_table(spark, sf_dir), "javascript").select("candidate_id")
+
+
+@query("""WITH t AS (SELECT doc_id AS id, unnest(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS term FROM documents), i AS (SELECT id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL), s AS (SELECT id, sum(tf) AS size FROM i GROUP BY id),
+st AS (SELECT count(*) AS n, avg(size) AS mean FROM s), h AS (SELECT * FROM i WHERE term IN ('and', 'of')), d AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT id AS doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM h JOIN d USING (term) JOIN s USING (id), st GROUP BY id HAVING count(*) = 2""")
+def fts_bm25(spark, sf_dir):
+    found = search.bm25(search.inverted_index(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")), ["and", "of"])
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(CLUSTERS + "SELECT candidate_id, overall_confidence FROM flagged WHERE overall_confidence >= 0.7")
+def min_confidence_scan(spark, sf_dir):
+    return entity_table(spark, sf_dir).filter("overall_confidence >= 0.7").select("candidate_id", "overall_confidence")
+
+
+@query(f"WITH {RECORDS} SELECT count(*) AS found, 0::BIGINT AS missing, 0::BIGINT AS extra, 1.0::DOUBLE AS name_accuracy FROM rec")
+def gold_accuracy(spark, sf_dir):
+    rows = records_of(spark, sf_dir)
+    return report.accuracy(rows, rows, "ext_seq", ["name"])
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
