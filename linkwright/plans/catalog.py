@@ -302,7 +302,7 @@ def config_projection(spark, sf_dir):
     return p.select("full_name", F.round("full_name_confidence", 9).alias("name_confidence"), "primary_email", joined("skills").alias("skills"))
 
 
-@query(CLUSTERS + "SELECT count(*) AS total, count_if(emails IS NOT NULL) AS with_email, count_if(github IS NOT NULL) AS with_github, round_even(avg(overall_confidence), 6) AS avg_confidence, count_if(needs_human_review) AS flagged, 0::BIGINT AS three_way FROM flagged")
+@query(CLUSTERS + "SELECT count(*) AS total, count_if(emails IS NOT NULL)::BIGINT AS with_email, count_if(github IS NOT NULL)::BIGINT AS with_github, round_even(avg(overall_confidence), 6) AS avg_confidence, count_if(needs_human_review)::BIGINT AS flagged, 0::BIGINT AS three_way FROM flagged")
 def health_summary(spark, sf_dir):
     return report.summary(entity_table(spark, sf_dir))
 
