@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,4 +29,7 @@ def saved(df: DataFrame, what: str = "step") -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    # what was shuffled for it is garbage now; Spark frees those files once the driver has collected it
+    gc.collect()
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(at)
