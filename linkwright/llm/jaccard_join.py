@@ -13,6 +13,9 @@ both, and one of those isn't empty unless the set has G - H empty classes; such
 a set uses its own band's and the next lower one's.  No link is lost, whichever
 shingles are called frequent; that choice comes from a bounded sample.
 
+Candidates must first pass a sketch of parities: it differs in at most as many
+bits as the sets in shingles, so it drops unlike pairs and never a link.
+
 Sets are compared in rounds.  In each, every key's members meet one hub, and
 what links joins components; keys that hold one component are done.  After the
 rounds, members of different components meet, so groups of copies never make
@@ -31,16 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.runtime import arrow_map, batch, saved
+from linkwright.llm.runtime import arrow_map, batch, fetched, saved
 from linkwright.llm.words import SPACE, Rolling, chunks, mix, words
 from linkwright.operators.components import connected_components
 
 #: Documents whose shingles tell which are frequent, how often one must occur there, and how many are kept.
 SAMPLE_DOCS, SAMPLE_COUNT, FREQUENT = 12_000, 3, 500_000
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 
 
 class Measure:
@@ -64,6 +67,13 @@ class Measure:
                 start = np.arange(a, b - self.size + 1)
                 yield np.unique(rolling.spans(start, start + self.size))
 
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """Parities of the shingles that fall on each bit: two sets' sketches differ in no more bits than the sets in shingles."""
+        n = 1 << max(0, (len(shingles) // 128).bit_length())
+        bit = mix(shingles ^ np.uint64(0x5EED)) & np.uint64(64 * n - 1)
+        odd = (np.bincount(bit.astype(np.int64), minlength=64 * n) & 1).astype(np.uint8)
+        return np.packbits(odd, bitorder="little").view(np.int64)
+
     def lacking(self, n: int) -> int:
         return n - -(-n * self.percent // 100)
 
@@ -121,20 +131,20 @@ def frequent_shingles(docs: DataFrame, measure: Measure, sample: int) -> np.ndar
 
 
 def indexed(docs: DataFrame, measure: Measure, frequent: np.ndarray) -> DataFrame:
-    """doc_id, key (of the row), node (hash of the set), n (its size) and keys."""
+    """doc_id, key (of the row), node (hash of the set), n (its size), keys and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def make():
         def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in chunks(rows):
                 sets = list(measure.sets(part.column(1)))
                 node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-                yield batch(schema, part.column(0), part.column(2), node, [len(s) for s in sets], [measure.keys(s, shared.value).view(np.int64) for s in sets])
+                yield batch(schema, part.column(0), part.column(2), node, [len(s) for s in sets], [measure.keys(s, shared.value).view(np.int64) for s in sets], [measure.sketch(s) for s in sets])
 
         return each
 
-    return arrow_map(docs, "doc_id long, key long, node long, n long, keys array<bigint>", make)
+    return arrow_map(docs, "doc_id long, key long, node long, n long, keys array<bigint>, sketch array<bigint>", make)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
@@ -148,8 +158,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
 
         return each
 
-    joined = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.key") == F.col("w.key")))
-    return arrow_map(joined.select("d.text", "w.node"), "node long, shingles array<bigint>", make).dropDuplicates(["node"])
+    return arrow_map(fetched(docs, wanted).select("text", "node"), "node long, shingles array<bigint>", make)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
@@ -177,46 +186,68 @@ def verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     return arrow_map(full.select("a", "b", "x", "y"), "a long, b long", make)
 
 
+def may_be_similar(measure: Measure) -> Column:
+    """Whether sizes and sketches of the joined sets x and y allow for similarity; never false if they are similar."""
+    x, y = F.col("x.sketch"), F.col("y.sketch")
+
+    def folded(s: Column) -> Column:
+        half = (F.size(s) / 2).cast("int")
+        return F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+    def bits(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, m: n + m)
+
+    differing = F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(folded(x), y)).when(F.size(y) == 2 * F.size(x), bits(x, folded(y))).otherwise(0)
+    most = (F.col("x.n") + F.col("y.n")) * (100 - measure.percent) / (100 + measure.percent)
+    sizes = (F.col("x.n") * 100 >= F.col("y.n") * measure.percent) & (F.col("y.n") * 100 >= F.col("x.n") * measure.percent)
+    return (F.col("x.node") != F.col("y.node")) & sizes & (differing <= most)
+
+
 def links(docs: DataFrame, sets_table: DataFrame, measure: Measure) -> tuple[DataFrame | None, DataFrame | None]:
     """Links between different sets, enough of them to give all components; components of the linked sets."""
-    one = sets_table.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.first("n").alias("n"))
-    one = saved(one.select("node", "n", "one.*"), "nodes")
+    one = sets_table.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"))
+    one = saved(one.select("node", "one.*"), "nodes")
     # each distinct set is indexed once: by the row that stands for it
-    chosen = sets_table.alias("s").join(one.alias("o"), (F.col("s.node") == F.col("o.node")) & F.col("s.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("s.key") == F.col("o.key")))
-    index = chosen.select("s.node", F.col("s.n").alias("n"), F.explode("s.keys").alias("at"))
-    shared = index.groupBy("at").agg(F.count("*").alias("members")).filter("members > 1")
-    members = saved(index.join(shared, "at").select("at", "node", "n").distinct(), "members")
-    if not members.take(1):
-        return None, None
-    wanted = one.join(members.select("node").distinct(), "node", "left_semi")
-    sets = saved(sets_of(docs, wanted, measure), "sets")
-    similar_size = (F.col("x.n") * 100 >= F.col("y.n") * measure.percent) & (F.col("y.n") * 100 >= F.col("x.n") * measure.percent)
-    found, seen, components = None, None, None
+    chosen = sets_table.alias("s").join(one.alias("o"), (F.col("s.node") == F.col("o.node")) & F.col("s.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("s.key") == F.col("o.key"))).select("s.*")
+    chosen = saved(chosen, "chosen")
+    index = chosen.select("node", F.explode("keys").alias("at"))
+    shared = index.groupBy("at").agg(F.count("*").alias("members")).filter("members > 1").select("at")
+    members = saved(index.join(shared, "at").distinct().join(chosen.select("node", "n", "sketch").dropDuplicates(["node"]), "node"), "members")
+    known, found, components, sets, seen = None, None, None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            hub = members.groupBy("at").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("hub")).select("at", "hub.*")
+        last = turn == HUB_ROUNDS
+        if last:
+            pairs = members.alias("x").join(members.alias("y"), "at").filter((F.col("x.part") != F.col("y.part")) & (F.col("x.node") < F.col("y.node")))
         else:
-            hub = members
-        pairs = members.alias("x").join(hub.alias("y"), "at").filter((F.col("x.node") != F.col("y.node")) & similar_size)
-        if turn == HUB_ROUNDS:
-            pairs = pairs.filter(F.col("x.part") != F.col("y.part"))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            hub = members.groupBy("at").agg(F.min_by(F.struct("node", "n", "sketch"), F.xxhash64("node", F.lit(turn))).alias("hub")).select("at", "hub.*")
+            pairs = members.alias("x").join(hub.alias("y"), "at")
+        pairs = pairs.filter(may_be_similar(measure)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
-        new = saved(verified(pairs, sets, measure), "links")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        found = new if found is None else found.unionByName(new)
-        if turn == HUB_ROUNDS:
+        if pairs.take(1):
+            needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            if known is not None:
+                needed = needed.join(known, "node", "left_anti")
+            needed = saved(needed, "needed")
+            read = saved(sets_of(docs, saved(one.join(needed, "node", "left_semi"), "wanted"), measure), "sets")
+            sets = read if sets is None else sets.unionByName(read)
+            known = needed if known is None else known.unionByName(needed)
+            new = saved(verified(pairs, sets, measure).distinct(), "links")
+            seen = pairs if seen is None else seen.unionByName(pairs)
+            found = new if found is None else found.unionByName(new)
+            components = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        if last:
             break
-        components = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         # keys whose members are all of one component are done
-        named = members.drop("part").join(components.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        open_keys = named.groupBy("at").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("at")
-        members = saved(named.join(open_keys, "at", "left_semi"), "members")
-        if not members.take(1):
-            return found, components
-    return found, connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        named = members.drop("part")
+        if components is None:
+            members = named.withColumn("part", F.col("node"))
+        else:
+            named = named.join(components.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+            open_keys = named.groupBy("at").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("at")
+            members = saved(named.join(open_keys, "at", "left_semi"), "members")
+    return found, components
 
 
 def join_components(docs: DataFrame, size: int, percent: int, sample: int = SAMPLE_DOCS) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.runtime import arrow_map, batch, saved
+from linkwright.llm.runtime import arrow_map, batch, fetched, saved
 from linkwright.llm.words import SPACE, Rolling, byte_values, chunks, mix, ranges, sliding_min, text_bytes, words
 
 HOT_CONTEXTS = 2000
@@ -96,10 +96,6 @@ def occurrences(docs: DataFrame, unit: Unit) -> DataFrame:
     return arrow_map(docs, "doc_id long, key long, a int, b int, anchor long, context long", make)
 
 
-def same_document(left: str, right: str) -> Column:
-    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.key") == F.col(f"{right}.key"))
-
-
 def contents(docs: DataFrame, chosen: DataFrame, unit: Unit) -> DataFrame:
     """anchor, context, weight and content of each chosen context, read from the document named with it."""
     wanted = chosen.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "context", "weight", "a", "b")).alias("wanted"))
@@ -120,7 +116,7 @@ def contents(docs: DataFrame, chosen: DataFrame, unit: Unit) -> DataFrame:
 
         return each
 
-    joined = docs.alias("d").join(wanted.alias("w"), same_document("d", "w")).select("d.text", "w.wanted").dropDuplicates(["wanted"])
+    joined = fetched(docs, saved(wanted, "wanted")).select("text", "wanted")
     return arrow_map(joined, f"anchor long, context long, weight long, content {'binary' if unit.kind == 'bytes' else 'array<bigint>'}", make)
 
 
@@ -157,7 +153,8 @@ def repeated(docs: DataFrame, unit: Unit, weigh: Column, combine: Callable[[str]
     shared = saved(kinds.drop("n").join(shared, "anchor"), "shared")
     single = shared.filter("kinds = 1").select("anchor", "context", F.col("weight").alias("whole"), F.lit(None).cast("array<bigint>").alias("marks"))
     several = shared.filter("kinds > 1").select("anchor", "context", "weight", "kinds", "one.*")
-    read = saved(contents(docs, several, unit), "contents")
+    # a repeated row is read twice, which `distinct` mends
+    read = saved(contents(docs, several, unit).distinct(), "contents")
     over = several.filter(F.col("kinds") > hot_contexts).select("anchor").distinct()
     hot = read.join(over, "anchor", "left_semi")
     cool = read.join(over, "anchor", "left_anti")
@@ -190,4 +187,4 @@ def covered(size: int, found: list[dict], window: int, keep: Callable[[np.ndarra
 
 def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, text and found of every row."""
-    return docs.alias("d").join(found.alias("f"), same_document("d", "f"), "left").select("d.doc_id", "d.text", "f.found")
+    return fetched(docs, saved(found, "found"), "left").select("doc_id", "text", "found")

@@ -42,6 +42,29 @@ def shuffle_tasks(spark: SparkSession, rows: int, each: int = 200_000) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
+#: Rows of two or three numbers that are broadcast; beyond it the texts are shuffled instead.
+BROADCAST_ROWS = 300_000
+
+
+def fetched(docs: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame:
+    """docs (doc_id, text, key) joined with wanted by doc_id (null-safe) and key.
+
+    If the wanted keys are few (counted, not guessed), they are broadcast so
+    that no other text enters the shuffle; if they aren't, both sides shuffle.
+    """
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.key") == F.col("w.key"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        joined = docs.alias("d").join(wanted.alias("w"), same, how)
+        return joined.drop(F.col("w.doc_id"), F.col("w.key"))
+    keys = F.broadcast(wanted.select("doc_id", "key")).alias("w")
+    own = docs.alias("d").join(keys, same, "left_semi")
+    out = own.alias("d").join(wanted.alias("w"), same).drop(F.col("w.doc_id"), F.col("w.key"))
+    if how == "left":
+        rest = docs.alias("d").join(keys, same, "left_anti")
+        out = out.unionByName(rest, allowMissingColumns=True)
+    return out
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with `rank`, gapless from 0 in the given order, without a single-partition sort.
 
@@ -64,4 +87,4 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return kept.withColumn("rank", table[F.col("_part")] + F.col("_in")).drop("_part", "_in")
 
 
-__all__ = ["arrow_map", "arrow_type", "batch", "id_type", "numbered", "saved", "shared_folder", "shuffle_tasks"]
+__all__ = ["BROADCAST_ROWS", "fetched", "arrow_map", "arrow_type", "batch", "id_type", "numbered", "saved", "shared_folder", "shuffle_tasks"]
