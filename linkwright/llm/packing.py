@@ -17,6 +17,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,10 @@ WINDOW = 4096
 END_ID = 2
 #: Pieces of one bucket, on average.
 BUCKET_PIECES = 8192
-#: Words whose ids a task keeps.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 1_000_000
+#: Stands between words that are encoded together.
+MARK = "\x01"
 
 
 class WordTokenizer:
@@ -46,25 +50,37 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
+        (self.mark,) = self.encode([MARK], add_special_tokens=False)[0].ids
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[int, int] = {}
         self.ids = np.empty(1 << 20, np.uint32)
+        self.start = np.zeros(1 << 16, np.int64)
         self.used = 0
-        self.start: list[int] = []
-        self.size: list[int] = []
 
     def learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, found in zip(keys, self.encode(texts, add_special_tokens=False), strict=True):
-            ids = found.ids
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.place[key] = len(self.start)
-            self.start.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
+        """One call encodes all new words, set apart by a mark that is a token of its own; a word that holds it goes alone."""
+        plain = [t for t in texts if MARK not in t]
+        found = np.array(self.encode([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids if plain else [], np.uint32)
+        cut = np.flatnonzero(found == self.mark)
+        if plain and len(cut) != len(plain) - 1:
+            raise ValueError("the tokenizer doesn't keep words apart at white space")
+        parts = np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1 if plain else []
+        found = found[found != self.mark]
+        if len(plain) < len(texts):
+            each = iter(np.split(found, np.cumsum(parts)[:-1]) if plain else [])
+            all_ids = [next(each) if MARK not in t else np.array(self.encode([t], add_special_tokens=False)[0].ids, np.uint32) for t in texts]
+            found, parts = np.concatenate(all_ids), np.array([len(x) for x in all_ids])
+        n, used = len(self.place), self.used + len(found)
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(found)), np.uint32)])
+        if n + len(keys) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(max(len(self.start), len(keys)), np.int64)])
+        self.ids[self.used : used] = found
+        self.start[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(parts)
+        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.used = used
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and, for each text, where its ids begin (one more at the end)."""
@@ -75,28 +91,35 @@ class WordTokenizer:
         if len(self.place) > KEPT_WORDS:
             self.forget()
         keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        if new:
-            data = w.data.tobytes()
-            at = where[new]
-            self.learn([keys[i] for i in new], [data[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
-        place = [self.place[k] for k in keys]
-        start = np.array([self.start[p] for p in place])[back]
-        size = np.array([self.size[p] for p in place])[back]
+        place = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            data, at = w.data.tobytes(), where[new]
+            place[new] = len(self.place) + np.arange(len(new))
+            self.learn(distinct[new].tolist(), [data[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        place = place[back]
+        start = self.start[place]
+        size = self.start[place + 1] - start
         ends = np.concatenate([[0], np.cumsum(size)])
         return self.ids[ranges(start, size)], ends[w.first]
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The process's own: what one task has learnt, later ones in the same worker know."""
+    return WordTokenizer(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids: each document's ids cut into full windows and a rest."""
     kind = arrow_type(docs)
     schema = pa.schema([("doc_id", kind), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def make():
-        encode = WordTokenizer(tokenizer)
+        encode = word_tokenizer(tokenizer)
 
         def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in chunks(rows):
+            for part in chunks(rows, most=2 << 20):
                 ids, at = encode(part.column(1))
                 row, start, length, crc, total, kept = [], [], [], [], [], []
                 for i in range(part.num_rows):
