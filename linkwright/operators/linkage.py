@@ -74,14 +74,14 @@ def kind_rank(kind):
 
 def prioritized_owner(cluster_ids_: DataFrame, index: DataFrame) -> DataFrame:
     """cluster and owner: the index's entity for the first identifier it knows, github before address before phone."""
-    hits = cluster_ids_.join(index, ["kind", "value"])
+    hits = cluster_ids_.join(index.select("kind", "value", "candidate_id"), ["kind", "value"])
     order = Window.partitionBy("cluster").orderBy(kind_rank(F.col("kind")), "ext_seq", "value")
     return hits.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("cluster", F.col("candidate_id").alias("owner"))
 
 
 def bridging_conflicts(cluster_ids_: DataFrame, index: DataFrame) -> DataFrame:
     """cluster and owners (sorted) of every cluster whose identifiers belong to several entities."""
-    hits = cluster_ids_.join(index, ["kind", "value"])
+    hits = cluster_ids_.join(index.select("kind", "value", "candidate_id"), ["kind", "value"])
     return hits.groupBy("cluster").agg(F.array_sort(F.collect_set("candidate_id")).alias("owners")).filter(F.size("owners") > 1)
 
 
