@@ -63,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data), ("packing", packing)]
 
-#: Classifiers, components and packing are beyond SQL; tests hold every stage against a brute-force version.
+#: Classifiers, components and packing are beyond SQL; the operators of all stages have tests against brute force.
 ORACLE_SQL = None
 
 
