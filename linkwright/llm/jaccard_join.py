@@ -11,10 +11,13 @@ Similar sets differ in at most H < G shingles, so G - H classes are equal in
 both, and one of those isn't empty unless the set has G - H empty classes; such
 (tiny) sets are indexed under single shingles as well.  G goes by size band, and
 a set uses its own band's and the next lower one's.  No link is lost, whichever
-shingles are called frequent; that choice comes from a bounded sample.
+shingles are called frequent; that choice rests on counts over all rows.
 
 Candidates must first pass a sketch of parities: it differs in at most as many
-bits as the sets in shingles, so it drops unlike pairs and never a link.
+bits as the sets in shingles, so it drops unlike pairs and never a link.  It has
+at least as many bits as the set has shingles, so that sets with half of their
+shingles in common seldom pass.  Keys carry it folded to BRIEF words; the whole
+one is met by each pair once.
 
 Sets are compared in rounds.  In each, every key's members meet one hub, and
 what links joins components; keys that hold one component are done.  After the
@@ -41,9 +44,11 @@ from linkwright.llm.runtime import arrow_map, batch, fetched, saved
 from linkwright.llm.words import SPACE, Rolling, chunks, mix, words
 from linkwright.operators.components import connected_components
 
-#: Documents whose shingles tell which are frequent, how often one must occur there, and how many are kept.
-SAMPLE_DOCS, SAMPLE_COUNT, FREQUENT = 12_000, 3, 500_000
+#: Rows with a shingle from which it is frequent; the most frequent ones, of whom at most so many are broadcast.
+OFTEN, FREQUENT = 16, 2_000_000
 HUB_ROUNDS = 1
+#: Words of the sketch that every key of a set carries, at most.
+BRIEF = 8
 
 
 class Measure:
@@ -67,9 +72,9 @@ class Measure:
                 start = np.arange(a, b - self.size + 1)
                 yield np.unique(rolling.spans(start, start + self.size))
 
-    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+    def sketch(self, shingles: np.ndarray, most: int = 1 << 40) -> np.ndarray:
         """Parities of the shingles that fall on each bit: two sets' sketches differ in no more bits than the sets in shingles."""
-        n = 1 << max(0, (len(shingles) // 128).bit_length())
+        n = min(most, 1 << (len(shingles) // 64).bit_length())
         bit = mix(shingles ^ np.uint64(0x5EED)) & np.uint64(64 * n - 1)
         odd = (np.bincount(bit.astype(np.int64), minlength=64 * n) & 1).astype(np.uint8)
         return np.packbits(odd, bitorder="little").view(np.int64)
@@ -112,39 +117,47 @@ class Measure:
         return np.unique(np.concatenate(out))
 
 
-def frequent_shingles(docs: DataFrame, measure: Measure, sample: int) -> np.ndarray:
-    """Shingles of several documents of a bounded sample, the most frequent FREQUENT of them, sorted."""
-    share = -(-docs.count() // sample) or 1
+def frequent_shingles(docs: DataFrame, measure: Measure, often: int) -> np.ndarray:
+    """Shingles of at least `often` rows, sorted; if over FREQUENT, the limit rises until they fit.
+
+    A row counts for its first 2 (d + 1) shingles: its prefix ends there unless half of them are frequent.
+    """
     schema = pa.schema([("shingle", pa.int64())])
 
     def make():
         def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in chunks(rows):
-                yield batch(schema, np.concatenate(list(measure.sets(part.column(0)))).view(np.int64))
+                yield batch(schema, np.concatenate([s[: 2 * measure.lacking(len(s)) + 2] for s in measure.sets(part.column(0))]).view(np.int64))
 
         return each
 
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").distinct()
-    found = arrow_map(some, "shingle long", make).groupBy("shingle").count().filter(F.col("count") >= SAMPLE_COUNT)
-    kept = found.orderBy(F.desc("count"), "shingle").limit(FREQUENT).select("shingle").toPandas()["shingle"]
-    return np.sort(kept.to_numpy(np.int64).view(np.uint64))
+    counted = arrow_map(docs.select("text"), "shingle long", make).groupBy("shingle").count().filter(F.col("count") >= often)
+    counted = saved(counted.select("shingle", F.floor(F.log2("count") * 8).alias("step")), "shingles")
+    total, least = 0, None
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r["step"]
+    kept = counted.filter(F.col("step") >= least).select("shingle").toPandas()["shingle"] if least is not None else np.empty(0, np.int64)
+    return np.sort(np.asarray(kept, np.int64).view(np.uint64))
 
 
 def indexed(docs: DataFrame, measure: Measure, frequent: np.ndarray) -> DataFrame:
-    """doc_id, key (of the row), node (hash of the set), n (its size), keys and sketch."""
+    """doc_id, key (of the row), node (hash of the set), n (its size), keys, sketch and brief (the sketch of at most BRIEF words)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("brief", pa.list_(pa.int64()))])
 
     def make():
         def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in chunks(rows):
                 sets = list(measure.sets(part.column(1)))
                 node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-                yield batch(schema, part.column(0), part.column(2), node, [len(s) for s in sets], [measure.keys(s, shared.value).view(np.int64) for s in sets], [measure.sketch(s) for s in sets])
+                yield batch(schema, part.column(0), part.column(2), node, [len(s) for s in sets], [measure.keys(s, shared.value).view(np.int64) for s in sets], [measure.sketch(s) for s in sets], [measure.sketch(s, BRIEF) for s in sets])
 
         return each
 
-    return arrow_map(docs, "doc_id long, key long, node long, n long, keys array<bigint>, sketch array<bigint>", make)
+    return arrow_map(docs, "doc_id long, key long, node long, n long, keys array<bigint>, sketch array<bigint>, brief array<bigint>", make)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
@@ -186,9 +199,9 @@ def verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     return arrow_map(full.select("a", "b", "x", "y"), "a long, b long", make)
 
 
-def may_be_similar(measure: Measure) -> Column:
+def may_be_similar(measure: Measure, sketch: str) -> Column:
     """Whether sizes and sketches of the joined sets x and y allow for similarity; never false if they are similar."""
-    x, y = F.col("x.sketch"), F.col("y.sketch")
+    x, y = F.col(f"x.{sketch}"), F.col(f"y.{sketch}")
 
     def folded(s: Column) -> Column:
         half = (F.size(s) / 2).cast("int")
@@ -212,19 +225,21 @@ def links(docs: DataFrame, sets_table: DataFrame, measure: Measure) -> tuple[Dat
     chosen = saved(chosen, "chosen")
     index = chosen.select("node", F.explode("keys").alias("at"))
     shared = index.groupBy("at").agg(F.count("*").alias("members")).filter("members > 1").select("at")
-    members = saved(index.join(shared, "at").distinct().join(chosen.select("node", "n", "sketch").dropDuplicates(["node"]), "node"), "members")
+    nodes = chosen.select("node", "n", "sketch", "brief").dropDuplicates(["node"])
+    members = saved(index.join(shared, "at").distinct().join(nodes.drop("sketch"), "node"), "members")
     known, found, components, sets, seen = None, None, None, None, None
     for turn in range(HUB_ROUNDS + 1):
         last = turn == HUB_ROUNDS
         if last:
             pairs = members.alias("x").join(members.alias("y"), "at").filter((F.col("x.part") != F.col("y.part")) & (F.col("x.node") < F.col("y.node")))
         else:
-            hub = members.groupBy("at").agg(F.min_by(F.struct("node", "n", "sketch"), F.xxhash64("node", F.lit(turn))).alias("hub")).select("at", "hub.*")
+            hub = members.groupBy("at").agg(F.min_by(F.struct("node", "n", "brief"), F.xxhash64("node", F.lit(turn))).alias("hub")).select("at", "hub.*")
             pairs = members.alias("x").join(hub.alias("y"), "at")
-        pairs = pairs.filter(may_be_similar(measure)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = pairs.filter(may_be_similar(measure, "brief")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        whole = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
+        pairs = saved(whole.filter(may_be_similar(measure, "sketch")).select("a", "b"), "pairs")
         if pairs.take(1):
             needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             if known is not None:
@@ -250,11 +265,11 @@ def links(docs: DataFrame, sets_table: DataFrame, measure: Measure) -> tuple[Dat
     return found, components
 
 
-def join_components(docs: DataFrame, size: int, percent: int, sample: int = SAMPLE_DOCS) -> DataFrame:
+def join_components(docs: DataFrame, size: int, percent: int, often: int = OFTEN) -> DataFrame:
     """doc_id, key, n_shingles, part and component_id of every row; key is xxhash64 of its text."""
     measure = Measure(size, percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key"))
-    table = saved(indexed(docs, measure, frequent_shingles(docs, measure, sample)), "indexed")
+    table = saved(indexed(docs, measure, frequent_shingles(docs, measure, often)), "indexed")
     _, components = links(docs, table, measure)
     rows = table.select("doc_id", "key", "node", F.col("n").alias("n_shingles"))
     if components is None:

@@ -43,10 +43,10 @@ def near_copies(seed):
     return texts + ["one", "ONE", "one two three four five", "one two three four six"]
 
 
-@pytest.mark.parametrize("k,percent,sample", [(4, 85, 12000), (5, 80, 1)])
-def test_components_against_brute_force(spark, k, percent, sample):
+@pytest.mark.parametrize("k,percent,often", [(4, 85, 16), (5, 80, 1), (5, 80, 3)])
+def test_components_against_brute_force(spark, k, percent, often):
     texts = near_copies(k)
-    rows = join_components(documents(spark, texts), k, percent, sample).collect()
+    rows = join_components(documents(spark, texts), k, percent, often).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, k, percent)
 
 
