@@ -22,7 +22,9 @@ one is met by each pair once.
 Sets are compared in rounds.  In each, every key's members meet one hub, and
 what links joins components; keys that hold one component are done.  After the
 rounds, members of different components meet, so groups of copies never make
-all their pairs.  Equal sets are merged before anything else.
+all their pairs.  Sets that share many crowded keys meet under the least of
+these: a key skips a pair that is seen to share a lesser one.  Equal sets are
+merged before anything else.
 
 Defined results: texts without words, or null, have an empty set, link with
 nothing and are their own component; a null doc_id takes part but names no
@@ -49,6 +51,8 @@ OFTEN, FREQUENT = 16, 2_000_000
 HUB_ROUNDS = 1
 #: Words of the sketch that every key of a set carries, at most.
 BRIEF = 8
+#: Members from which a key is crowded; a set's least crowded keys, so many at most, go with each of its members.
+CROWD, LOW = 64, 16
 
 
 class Measure:
@@ -216,6 +220,11 @@ def may_be_similar(measure: Measure, sketch: str) -> Column:
     return (F.col("x.node") != F.col("y.node")) & sizes & (differing <= most)
 
 
+def not_met_before() -> Column:
+    """Whether the joined sets x and y aren't seen to share a key less than this one; never false at the least one that they share."""
+    return F.coalesce(F.array_min(F.array_intersect("x.low", "y.low")) >= F.col("at"), F.lit(True))
+
+
 def links(docs: DataFrame, sets_table: DataFrame, measure: Measure) -> tuple[DataFrame | None, DataFrame | None]:
     """Links between different sets, enough of them to give all components; components of the linked sets."""
     one = sets_table.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"))
@@ -224,18 +233,22 @@ def links(docs: DataFrame, sets_table: DataFrame, measure: Measure) -> tuple[Dat
     chosen = sets_table.alias("s").join(one.alias("o"), (F.col("s.node") == F.col("o.node")) & F.col("s.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("s.key") == F.col("o.key"))).select("s.*")
     chosen = saved(chosen, "chosen")
     index = chosen.select("node", F.explode("keys").alias("at"))
-    shared = index.groupBy("at").agg(F.count("*").alias("members")).filter("members > 1").select("at")
+    shared = index.groupBy("at").agg(F.count("*").alias("members")).filter("members > 1").select("at", (F.col("members") >= CROWD).alias("crowded"))
+    held = saved(index.join(shared, "at").distinct(), "held")
+    low = held.filter("crowded").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("at")), 1, LOW).alias("low"))
     nodes = chosen.select("node", "n", "sketch", "brief").dropDuplicates(["node"])
-    members = saved(index.join(shared, "at").distinct().join(nodes.drop("sketch"), "node"), "members")
+    members = held.join(nodes.drop("sketch").join(low, "node", "left"), "node")
+    members = saved(members.withColumn("low", F.when(F.col("crowded"), F.col("low"))).drop("crowded"), "members")
     known, found, components, sets, seen = None, None, None, None, None
     for turn in range(HUB_ROUNDS + 1):
         last = turn == HUB_ROUNDS
         if last:
             pairs = members.alias("x").join(members.alias("y"), "at").filter((F.col("x.part") != F.col("y.part")) & (F.col("x.node") < F.col("y.node")))
+            pairs = pairs.filter(may_be_similar(measure, "brief") & not_met_before())
         else:
             hub = members.groupBy("at").agg(F.min_by(F.struct("node", "n", "brief"), F.xxhash64("node", F.lit(turn))).alias("hub")).select("at", "hub.*")
-            pairs = members.alias("x").join(hub.alias("y"), "at")
-        pairs = pairs.filter(may_be_similar(measure, "brief")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            pairs = members.alias("x").join(hub.alias("y"), "at").filter(may_be_similar(measure, "brief"))
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         whole = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))

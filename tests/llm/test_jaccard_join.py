@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from linkwright.llm import jaccard_join
 from linkwright.llm.jaccard_join import Measure, join_components
 from tests.llm.helpers import documents, random_texts, space_words
 
@@ -50,6 +51,15 @@ def test_components_against_brute_force(spark, k, percent, often):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, k, percent)
 
 
+def test_crowded_keys_against_brute_force(spark, monkeypatch):
+    """Every key is crowded here, and a member names few of its set's keys."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 2)
+    monkeypatch.setattr(jaccard_join, "LOW", 3)
+    texts = near_copies(11)
+    rows = join_components(documents(spark, texts), 4, 85, 3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, 4, 85)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_similar_sets_share_a_key(percent):
     r = np.random.default_rng(percent)
