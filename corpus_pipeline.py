@@ -32,13 +32,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one of smallest doc_id stays (of its rows the first in column order)."""
-    members = join_components(docs, SHINGLE, PERCENT).select("doc_id", "key", "part", "component_id")
-    keep = members.filter("part IS NULL OR doc_id <=> component_id").select("doc_id", "key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    k = saved(keep.toDF("_keep_id", "_keep_key"), "keep")
-    kept = keyed.join(k, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_key") == F.col("_keep_key")), "left_semi").drop("_key")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of each component of similar documents the one of smallest doc_id stays, and of its repeated rows the first as JSON.
+
+    Documents without words stay; a null doc_id counts as the largest.  Only
+    rows that repeat both doc_id and text are shuffled with their texts.
+    """
+    members = join_components(docs, SHINGLE, PERCENT).groupBy("part", "doc_id", "key").agg(F.count("*").alias("copies"))
+    members = saved(members, "members")
+    first = members.filter("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "copies")).alias("m"))
+    keep = first.select("m.doc_id", "m.key", "m.copies").union(members.filter("part IS NULL").select("doc_id", "key", "copies"))
+    keep = saved(keep, "keep").alias("k")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    own = docs.select(rest, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key")).alias("d")
+    found = own.join(keep, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.key") == F.col("k.key")))
+    kept = found.filter("copies = 1").select("rest")
+    if keep.filter("copies > 1").take(1):
+        again = found.filter("copies > 1").groupBy("d.doc_id", "d.key").agg(F.min_by("rest", F.to_json("rest")).alias("rest"))
+        kept = kept.union(again.select("rest"))
+    return columns_of(kept, docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
