@@ -6,10 +6,11 @@ included, share one open class, in which a word of count c has probability
 (c + 1) / (N_open + V_open + 1).  So the model spreads exactly one unit of
 probability over all words and one unknown word.
 
-Baum-Welch: a bounded sample of documents gives the first parameters, then each
-pass sums the expected counts of all training documents, gathered by partition
-and word, and re-estimates the model.  Passes read long documents in segments;
-scoring never does: the scaled forward recursion runs over the whole sequence.
+Baum-Welch: each pass sums the expected counts of all training documents, every
+one read whole, gathered by partition and word, and re-estimates the model.  For
+speed a pass walks all segments of its documents at once; the state is carried
+over their borders in both directions, so the counts are those of whole
+sequences.  Scoring runs the scaled forward recursion over the whole sequence.
 
 What is broadcast is bounded by FREQUENT and the number of states.  The words
 outside it meet their counts in a join on the word.
@@ -36,11 +37,11 @@ STATES = 6
 #: Words with emissions of their own.
 FREQUENT = 1 << 17
 #: Passes over all training documents.
-PASSES = 2
-#: Documents and passes that give the first parameters.
-SAMPLE_DOCS, SAMPLE_PASSES = 1500, 12
-#: Tokens of a segment in Baum-Welch passes.
+PASSES = 14
+#: Tokens of the segments that a pass walks at once; results don't depend on it.
 SEGMENT = 256
+#: Tokens of a task in a pass, unless there are fewer tasks than twice the cores.
+TASK_TOKENS = 20_000_000
 #: Counts by which a word's share in each state is drawn to the state's share of all words.
 SHRINKAGE = 4.0
 #: Distinct words a task counts before it hands them on.
@@ -204,6 +205,39 @@ def segments(first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(begin, first[-1]), heads
 
 
+def carried(model: Model, seen: np.ndarray, running: np.ndarray, order: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment, in `order`: the state's distribution before its first token given all before, and (up to a factor) the likelihood of all after it by its last state."""
+    k, n = len(model.start), len(order)
+    begin, after = np.tile(model.start, (n, 1)), np.ones((n, k))
+    if heads.all():
+        return begin, after
+    # the likelihood of a segment's tokens by its first and last state, up to a factor
+    through = np.zeros((n, k, k))
+    at = 0
+    for t, m in enumerate(running.tolist()):
+        now = seen[at : at + m, None, :]
+        through[:m] = np.eye(k) * now if t == 0 else (through[:m].reshape(-1, k) @ model.step).reshape(m, k, k) * now
+        if t % 8 == 7:
+            through[:m] /= through[:m].sum(axis=(1, 2))[:, None, None]
+        at += m
+    through /= through.sum(axis=(1, 2))[:, None, None]
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    opens = np.flatnonzero(heads)
+    number = np.arange(n) - np.repeat(opens, np.diff(np.append(opens, n)))
+    by_number = np.argsort(number, kind="stable")
+    levels = np.split(by_number, np.cumsum(np.bincount(number))[:-1])
+    for level in levels[1:]:
+        last, own = place[level - 1], place[level]
+        begin[own] = np.einsum("ni,nij->nj", begin[last], through[last]) @ model.step
+        begin[own] /= begin[own].sum(axis=1, keepdims=True)
+    for level in levels[:0:-1]:
+        last, own = place[level - 1], place[level]
+        after[last] = np.einsum("nij,nj->ni", through[own], after[own]) @ model.step.T
+        after[last] /= after[last].sum(axis=1, keepdims=True)
+    return begin, after
+
+
 class Expected:
     """Expected counts of starts, steps and emissions, summed over batches."""
 
@@ -213,19 +247,20 @@ class Expected:
     def add(self, model: Model, tokens: np.ndarray, first: np.ndarray) -> None:
         bounds, heads = segments(first, SEGMENT)
         code, running, order = padded(tokens, bounds)
-        heads = heads[order]
         k = len(model.start)
         seen = model.emit.take(code, axis=0)
+        begin, behind = carried(model, seen, running, order, heads)
         ahead = np.empty_like(seen)
         starts = np.concatenate([[0], np.cumsum(running)])
-        begin = np.where(heads[:, None], model.start, np.full(k, 1 / k))
         scale = np.empty(len(code))
+        last = np.empty((len(order), k))  # forward value of each segment's last token
         for t, n in enumerate(running.tolist()):
             i, j = starts[t], starts[t + 1]
             a = begin[:n] * seen[i:j] if t == 0 else (ahead[starts[t - 1] : starts[t - 1] + n] @ model.step) * seen[i:j]
             scale[i:j] = s = a.sum(axis=1)
-            ahead[i:j] = a / s[:, None]
-        behind = np.ones((len(order), k))
+            last[:n] = ahead[i:j] = a / s[:, None]
+        behind /= (last * behind).sum(axis=1, keepdims=True)
+        back = behind
         for t in range(len(running) - 1, -1, -1):
             i, j = starts[t], starts[t + 1]
             n = j - i
@@ -235,7 +270,11 @@ class Expected:
                 # ahead of the time before still is the forward value
                 self.step += model.step * (ahead[starts[t - 1] : starts[t - 1] + n].T @ back)
                 behind[:n] = back @ model.step.T
-        self.start += ahead[: len(order)][heads].sum(axis=0)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        later = np.flatnonzero(~heads)
+        self.step += model.step * (last[place[later - 1]].T @ back[place[later]])
+        self.start += ahead[: len(order)][heads[order]].sum(axis=0)
         used, place = np.unique(code, return_inverse=True)
         for s in range(k):
             self.emit[used, s] += np.bincount(place, ahead[:, s], len(used))
@@ -295,19 +334,14 @@ def baum_welch_pass(training: DataFrame, model: Model, prior: np.ndarray) -> Mod
 
 def train(sequences: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
     """Baum-Welch over the rows of `encoded` that aren't held out."""
-    training = sequences.filter(~F.col("held_out")).select("row", "tokens")
+    training = sequences.filter(~F.col("held_out")).select("tokens")
     prior = vocab.prior()
     model = first_model(prior, states)
-    n = training.count()
-    if not n:
+    if not vocab.tokens:
         return model
-    some = training.filter(F.pmod(F.xxhash64("row"), F.lit(-(-n // SAMPLE_DOCS))) == 0).select(F.slice("tokens", 1, 4 * SEGMENT).alias("tokens")).limit(2 * SAMPLE_DOCS).toArrow()["tokens"].combine_chunks()
-    if len(some):
-        tokens, first = lists(some if isinstance(some, pa.ListArray) else pa.concat_arrays(some.chunks))
-        for _ in range(SAMPLE_PASSES):
-            sums = Expected(*model.emit.shape)
-            sums.add(model, tokens, first)
-            model = sums.model(prior)
+    # each task hands on its words' sums once, so tasks are no more than they need be
+    tasks = max(2 * sequences.sparkSession.sparkContext.defaultParallelism, -(-vocab.tokens // TASK_TOKENS))
+    training = training.coalesce(tasks)
     for _ in range(passes):
         model = baum_welch_pass(training, model, prior)
     return model
