@@ -1,14 +1,15 @@
 """Balanced label propagation: linked documents drawn to common shards of equal size.
 
-Every document starts in the shard its least neighbour (or itself) hashes to.
-In each round a document asks for the shard where most of its neighbours are,
+Every document starts in the shard it hashes to itself, so linked ones start apart
+and shards even.  In each round a document asks for the shard where most of its neighbours are,
 if it gains links by that.  Moves between two shards are let through as far as
 they are matched by moves the other way or by free capacity, so sizes stay
 even; the driver sees one number for each pair of shards.  Half of the documents
 move in a round, which keeps neighbours from changing places for ever.
 
-Law `rows`: in the end documents are numbered by (label, group, doc_id) and cut
-into shards whose counts are at most one apart; a cut divides a group at most
+Law `rows`: in the end what the rounds left apart of one group (the documents of
+one home) takes the label that most of it has, documents are numbered by
+(label, group, doc_id) and cut into shards whose counts are at most one apart; a cut divides a group at most
 once for each border, and a group larger than a shard fills several.
 
 Defined results: null texts are of size 1 and equal to each other; rows of one
@@ -42,7 +43,7 @@ def propagate(links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     """node, home (its least neighbour or itself) and label for every linked document."""
     both = saved(links.select("src", "dst").union(links.select("dst", "src")).distinct(), "links")
     home = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("home"))
-    labels = saved(home.withColumn("label", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int")), "labels")
+    labels = saved(home.withColumn("label", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")), "labels")
     for turn in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("vote")), "dst").groupBy(F.col("src").alias("node"), "vote").agg(F.count("*").alias("n"))
         asked = votes.join(labels, "node").groupBy("node").agg(
@@ -63,13 +64,19 @@ def propagate(links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     return labels
 
 
+def gathered(labels: DataFrame) -> DataFrame:
+    """labels with every node at the label that most nodes of its home have, the least one of equals."""
+    most = labels.groupBy("home", "label").agg(F.count("*").alias("n")).groupBy("home").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
+    return labels.select("node", "home").join(most, "home").select("node", "home", "label")
+
+
 def shard(docs: DataFrame, links: DataFrame | None = None, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     text = F.col("text").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"))
-    labels = propagate(equal_text_links(docs) if links is None else links, shards, rounds)
+    labels = gathered(propagate(equal_text_links(docs) if links is None else links, shards, rounds))
     joined = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     free = F.pmod(F.xxhash64(F.coalesce("doc_id", "g")), F.lit(shards)).cast("int")
     placed = joined.select("doc_id", "size", "text_crc32", "g", F.coalesce("label", free).alias("label"), F.coalesce("home", "doc_id").alias("home"))

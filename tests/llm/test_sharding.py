@@ -1,6 +1,6 @@
 from collections import Counter, defaultdict
 
-from linkwright.llm.sharding import propagate, shard
+from linkwright.llm.sharding import equal_text_links, propagate, shard
 from tests.llm.helpers import documents
 
 
@@ -35,3 +35,20 @@ def test_few_or_no_rows(spark):
     assert sorted(r.slot for r in rows) == [0, 0, 0] and len({r.shard for r in rows}) == 3
     none = documents(spark, ["a", "a"]).selectExpr("cast(null as bigint) as doc_id", "text", "1 as label", "2 as home", "3 as rank")
     assert shard(none).count() == 2
+
+
+def test_rounds_and_quotas_place_equal_texts(spark):
+    texts = [f"copy {i % 300}" for i in range(1200)] + ["hot"] * 600
+    links = equal_text_links(documents(spark, texts)).cache()
+    pairs = [(a, b) for a, b in links.collect() if texts[a] != "hot"]
+
+    def labels(rounds):
+        return {r.node: r.label for r in propagate(links, 4, rounds).collect()}
+
+    def apart(found):
+        return sum(found[a] != found[b] for a, b in pairs) / len(pairs)
+
+    first, last = labels(0), labels(4)
+    assert apart(first) > 0.6 and apart(last) < 0.5 * apart(first)
+    # a group of a third of all rows doesn't fill one shard beyond its room
+    assert max(Counter(last.values()).values()) <= max(1.1 * len(texts) / 4, max(Counter(first.values()).values()) + 10)
