@@ -5,8 +5,10 @@ classifier over letter n-grams.  Loss-weighted decoding picks the codeword of
 least loss, each bit weighed by how well it told that language apart in
 training; a small gap to the second one flags the prediction as ambiguous.
 
-The classifiers are fitted on a bounded sample of labelled rows, drawn for each
-language (SAMPLE_PER_LANGUAGE); every whole text is predicted.
+The classifiers are fitted on a bounded sample of the distinct labelled texts with
+a letter, drawn for each language (SAMPLE_PER_LANGUAGE); copies of a text count
+once, and every language that has such a text is learnt.  Every whole text is
+predicted.
 
 Defined results: a null text or one without a letter is `und` with score 0, as
 is every text where there is nothing to learn from; repeated rows get equal
@@ -28,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from linkwright.llm.runtime import arrow_map, arrow_type, batch, id_type
 from linkwright.llm.words import chunks, text_bytes
 
-#: Training rows of each language, about; at most twice as many are read.
+#: Training texts of each language, about; of fewer than twice as many, all are read.
 SAMPLE_PER_LANGUAGE = 1500
 #: Hash buckets of the n-grams.
 BUCKETS = 4096
@@ -122,13 +124,15 @@ class Codes:
 
 
 def fit(training: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Codes | None:
-    """Codes learnt from about `sample` rows of each language of training (text, lang)."""
-    training = training.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}
+    """Codes learnt from about `sample` distinct texts with a letter of each language of training (text, lang)."""
+    text = F.col("text").cast("string")
+    training = training.filter("lang IS NOT NULL").filter(text.rlike(r"\p{L}")).select(text.alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("key"))
+    sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     if not sizes:
         return None
+    # a language of under twice `sample` texts is taken whole; of others each text has the same chance, however often it is repeated
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, n // sample))])
-    some = training.filter(F.pmod(F.xxhash64("text"), share[F.col("lang")]) == 0).limit(2 * sample * len(sizes))
+    some = training.filter(F.pmod("key", share[F.col("lang")]) == 0).groupBy("lang", "key").agg(F.first("text").alias("text")).select("text", "lang")
     schema = pa.schema([("lang", pa.string()), ("x", pa.binary())])
 
     def make():

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from linkwright.llm.language import codewords, identify
+from linkwright.llm.language import codewords, fit, identify
 
 SYLLABLES = {"en": "the and ing tion er th".split(), "de": "sch ung ein über ß lich".split(), "fr": "eau é ier tre oi ç".split(), "xx": "кат дом ра".split()}
 
@@ -39,3 +39,10 @@ def test_codewords_differ():
     for n in (2, 3, 4, 5, 9, 30):
         code = codewords(n)
         assert len({tuple(c) for c in code.tolist()}) == n
+
+
+def test_languages_of_repeated_texts_are_learnt(spark):
+    rows = [(f"{word} {word}ly", f"l{i}") for i, word in enumerate("alpha bravo charlie delta echo foxtrot golf hotel".split()) for _ in range(45)]
+    rows += [("the hot text of all", "hot")] * 2000 + [(f"rare {i}", "rare") for i in range(3)] + [("12 34", "none")] * 50
+    codes = fit(spark.createDataFrame(rows, "text string, lang string"), 10)
+    assert codes.languages == ["hot", *[f"l{i}" for i in range(8)], "rare"]
