@@ -13,6 +13,8 @@ from linkwright.operators.components import connected_components
 def identifiers(records: DataFrame) -> DataFrame:
     """kind, value and ext_seq of every identifier of normalised records."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("github", F.lower(F.trim("github"))), ("email", F.lower(F.trim("email"))), ("phone", F.col("phone")))])
+    more = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    pairs = F.concat(pairs, more("email", "more_emails"), more("phone", "more_phones"))
     return records.select("ext_seq", F.explode(pairs).alias("i")).select("i.*", "ext_seq").filter("value <> ''").distinct()
 
 

@@ -14,8 +14,9 @@ LIST_FIELDS = ("emails", "phones", "skills")
 def values(records: DataFrame, clusters: DataFrame) -> DataFrame:
     """cluster, field, value, source, confidence and ord (arrival) of every value of normalised records."""
     one = lambda field, col, conf: F.array(F.struct(F.lit(field).alias("field"), F.col(col).alias("value"), conf.alias("confidence"), F.lit(0).alias("pos")))
-    skills = F.transform("skills", lambda s, i: F.struct(F.lit("skills").alias("field"), s.alias("value"), F.col("base").alias("confidence"), i.alias("pos")))
-    all_values = F.concat(one("full_name", "name", F.col("base")), one("emails", "email", F.col("email_confidence")), one("phones", "phone", F.col("base")), one("location", "location", F.col("base")), skills)
+    skills = F.transform("skills", lambda s, i: F.struct(F.lit("skills").alias("field"), s.alias("value"), F.coalesce("skill_base", "base").alias("confidence"), i.alias("pos")))
+    more = lambda field, col, conf: F.transform(F.coalesce(col, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(field).alias("field"), x.alias("value"), F.col(conf).alias("confidence"), (i + 1).alias("pos")))
+    all_values = F.concat(one("full_name", "name", F.col("base")), one("emails", "email", F.col("email_confidence")), one("phones", "phone", F.col("base")), one("location", "location", F.col("base")), more("emails", "more_emails", "email_confidence"), more("phones", "more_phones", "base"), skills)
     rows = records.join(clusters, "ext_seq").select("cluster", "ext_seq", "source", F.explode(all_values).alias("v"))
     return rows.select("cluster", "v.field", "v.value", "source", "v.confidence", (F.col("ext_seq") * 1000 + F.col("v.pos")).alias("ord")).filter("value IS NOT NULL")
 
@@ -68,8 +69,15 @@ def experience(records: DataFrame, clusters: DataFrame) -> DataFrame:
     return once.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "company", "title"))), lambda x: F.struct(x["company"].alias("company"), x["title"].alias("title"))).alias("experience"))
 
 
+def education(records: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster and education: distinct institutions in order of first arrival."""
+    rows = records.join(clusters, "ext_seq").select("cluster", "ext_seq", F.posexplode("education").alias("pos", "institution"))
+    once = rows.groupBy("cluster", "institution").agg(F.min(F.struct("ext_seq", "pos")).alias("first"))
+    return once.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "institution"))), lambda x: x["institution"]).alias("education"))
+
+
 def entities(records: DataFrame, clusters: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row an entity: ids, fields with confidences, lists, links, experience, overall confidence and review flag."""
+    """One row an entity: ids, fields with confidences, lists, links, experience, education, overall confidence and review flag."""
     vals = values(records, clusters)
     groups = supported(vals)
     scalars = scalar_fields(groups)
@@ -78,7 +86,7 @@ def entities(records: DataFrame, clusters: DataFrame, ids: DataFrame) -> DataFra
     item = F.struct("first", "value", "confidence", "sources")
     lists = list_fields(groups).groupBy("cluster").agg(*[F.array_sort(F.collect_list(F.when(F.col("field") == f, item))).alias(f) for f in LIST_FIELDS])
     out = ids
-    for part in (won, lists, links(records, clusters), experience(records, clusters)):
+    for part in (won, lists, links(records, clusters), experience(records, clusters), education(records, clusters)):
         out = out.join(part, "cluster", "left")
     for f in LIST_FIELDS:
         out = out.withColumn(f, F.coalesce(F.col(f), F.array().cast(lists.schema[f].dataType)))

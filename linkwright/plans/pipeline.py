@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.operators.extract import ats_records, csv_records, normalized
+from linkwright.operators.extract import ats_records, csv_records, normalized, profile_records, resume_records
 from linkwright.operators.linkage import bridging_conflicts, cluster_ids, greedy_clusters, identifiers, prioritized_owner
 from linkwright.operators.project import default_projection
 from linkwright.operators.resolve import conflicts, entities, scalar_fields, supported, values
@@ -25,12 +25,14 @@ class Result:
     stats: DataFrame
 
 
-def all_records(csv: DataFrame | None = None, ats: DataFrame | None = None) -> DataFrame:
-    """Normalised records of all sources, in arrival order: recruiter rows before ATS rows."""
-    parts = ([csv_records(csv)] if csv is not None else []) + ([ats_records(ats)] if ats is not None else [])
+def all_records(csv: DataFrame | None = None, ats: DataFrame | None = None, resumes: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """Normalised records of all sources, in arrival order: recruiter rows, ATS rows, resumes, then the profiles that these link to."""
+    parts = [read(rows) for read, rows in ((csv_records, csv), (ats_records, ats), (resume_records, resumes)) if rows is not None]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
+    if profiles is not None:
+        out = out.unionByName(profile_records(profiles, out), allowMissingColumns=True)
     return normalized(out)
 
 

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from linkwright.functions import columns as C
 from linkwright.functions.similarity import lcs, token_set_ratio, token_sort_ratio
+from linkwright.operators import report
 from linkwright.operators.components import connected_components
-from linkwright.operators.linkage import component_clusters, greedy_clusters
+from linkwright.operators.linkage import cluster_ids, component_clusters, greedy_clusters
 from linkwright.operators.project import project
+from linkwright.operators.resolve import entities
 from linkwright.operators.store import Store
 from linkwright.operators.validate import validated
 from linkwright.plans.catalog import ORACLES, QUERIES
 from linkwright.plans.pipeline import all_records, run
-from linkwright.sources.files import read_ats_json, read_recruiter_csv
+from linkwright.sources.files import PROFILE_SCHEMA, read_ats_json, read_recruiter_csv
 
 SF = "/root/testdata/sf0.001"
 HEADER = "name,email,phone,current_company,title,github_url,location,notes\n"
@@ -93,3 +95,24 @@ def test_catalogue_against_duckdb(spark, name):
     names = [d[0] for d in want.description]
     rows = [tuple(r[names.index(c)] for c in columns) for r in want.fetchall()]
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r[c] for c in columns)) for r in got.collect())
+
+
+def test_all_four_sources_are_linked(spark):
+    csv = spark.createDataFrame([(0, "Ann Lee", "ann@x.y", None, "Co", None, "https://github.com/Ann", None)], "ext_seq long, name string, email string, phone string, current_company string, title string, github_url string, location string")
+    ats = spark.createDataFrame([(0, "A-1", "Ann Lee", "ann@x.y", None, ["python"])], "ext_seq long, ats_record_id string, display_name string, primary_email string, mobile string, tags array<string>")
+    text = "Ann Lee\nother@z.org\nann@x.y\n+91 9876543210\nSkills\nTools: golang, AWS\nEducation\nUniversity of Oz"
+    resumes = spark.createDataFrame([(0, "/in/Ann Resume.pdf", text), (1, "/in/scan.pdf", "")], "ext_seq long, path string, text string")
+    profile = ("Ann Lee", None, "Oz", "https://github.com/ann", None, "Hub Co")
+    profiles = spark.createDataFrame([(200, "Ann", profile, [("Python",), ("Python",), ("Go",)])] * 2 + [(200, "nobody", profile, [])], PROFILE_SCHEMA)
+    rec = all_records(csv, ats, resumes, profiles).localCheckpoint()
+    clusters = greedy_clusters(rec).localCheckpoint()
+    table = entities(rec, clusters, cluster_ids(rec, clusters)).localCheckpoint()
+    found = table.collect()
+    assert len(found) == 2 and sum(bool(r.emails) for r in found) == 1
+    ann = next(r for r in found if r.emails)
+    assert set(ann.full_name.sources) == {"recruiter.csv", "ats.json", "ann_resume_pdf", "github_api"}
+    assert {x.value for x in ann.emails} == {"ann@x.y", "other@z.org"} and [x.value for x in ann.phones] == ["+919876543210"] and ann.location.value == "Oz"
+    skills = {x.value: round(x.confidence, 6) for x in ann.skills}
+    assert skills == {"Python": round(1 - 0.05 * 0.5, 6), "Go": round(1 - 0.6 * 0.5, 6), "AWS": 0.4} and ann.education == ["University of Oz"]
+    assert [x.company for x in ann.experience] == ["Co", "Hub Co"]
+    assert report.summary(table).first().three_way == 1
