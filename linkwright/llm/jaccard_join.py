@@ -1,4 +1,7 @@
-"""Exact self-join of documents by the Jaccard similarity of their word shingles.
+"""Exact components of the self-join of documents by the Jaccard similarity of their word shingles.
+
+Components are exact; links aren't listed.  Once two sets are known to be in one
+component they are no longer compared, so a link between them may never be made.
 
 Order all shingles with the frequent ones last.  If two sets are similar, the
 first shingle they share is among the first d + 1 of both, where d is the most
@@ -10,8 +13,8 @@ into G classes by hash, and all that a set has of one class make one key.
 Similar sets differ in at most H < G shingles, so G - H classes are equal in
 both, and one of those isn't empty unless the set has G - H empty classes; such
 (tiny) sets are indexed under single shingles as well.  G goes by size band, and
-a set uses its own band's and the next lower one's.  No link is lost, whichever
-shingles are called frequent; that choice rests on counts over all rows.
+a set uses its own band's and the next lower one's.  Every link has a key in
+common, whichever shingles are called frequent; that choice rests on counts over all rows.
 
 Candidates must first pass a sketch of parities: it differs in at most as many
 bits as the sets in shingles, so it drops unlike pairs and never a link.  It has
