@@ -25,7 +25,7 @@ def columns_of(rest: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language (no text, or no letter in it) go."""
+    """Documents that are `und` (no text, or no letter in it) go; which language the others are in, and whether that is ambiguous, decides nothing here."""
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     found = identify(docs, ~held_out, carry=tuple(docs.columns))
     return columns_of(found.filter(F.col("lang_pred") != UNKNOWN), docs)
