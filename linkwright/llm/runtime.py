@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.operators.checkpoint import saved, shared_folder
@@ -37,6 +37,16 @@ def arrow_type(df: DataFrame, column: str = "doc_id") -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
+def rest_of(carry: tuple[str, ...]) -> list[Column]:
+    """One struct `rest` of the columns named, without the text, or nothing."""
+    return [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry if c != "text"]).alias("rest")] if carry else []
+
+
+def columns_of(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from the text and the `rest` that came along."""
+    return found.select(*[F.col("text" if c == "text" else f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def shuffle_tasks(spark: SparkSession, rows: int, each: int = 200_000) -> int:
     """Partitions for so many rows: never fewer than the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
@@ -87,4 +97,4 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return kept.withColumn("rank", table[F.col("_part")] + F.col("_in")).drop("_part", "_in")
 
 
-__all__ = ["BROADCAST_ROWS", "fetched", "arrow_map", "arrow_type", "batch", "id_type", "numbered", "saved", "shared_folder", "shuffle_tasks"]
+__all__ = ["BROADCAST_ROWS", "columns_of", "fetched", "arrow_map", "arrow_type", "batch", "id_type", "numbered", "rest_of", "saved", "shared_folder", "shuffle_tasks"]

@@ -1,19 +1,25 @@
 """Vectorised words and rolling hashes over batches of UTF-8 texts.
 
 Every delimiter of the word classes used here is ASCII, so cutting the UTF-8
-bytes gives exactly the words that cutting code points would give.  Hashes are
-polynomial in uint64 arithmetic over random byte values, followed by a
-finaliser, so that each n-gram hash costs a few vector operations per byte.
+bytes gives exactly the words that cutting code points would give.  A word's hash
+chains a bijective finaliser over its blocks of eight bytes, so no regular
+structure in words collides.  Ranges of words or bytes have polynomial hashes in
+uint64 arithmetic, followed by a finaliser; such a hash tells apart all content but
+that of some thousand values made of two values by doubling (Thue-Morse), and
+ranges here are shorter (at most 352 bytes or 88 words).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+#: Words of more bytes are digested one by one.
+LONG_WORD = 256
 #: Texts of one chunk hold at most so many bytes (a longer text is a chunk of its own).
 CHUNK_BYTES = 256 << 10
 
@@ -66,7 +72,7 @@ class Rolling:
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER_VALUES = _BYTE_VALUES[_LOWER]
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], _U)
 
 SPACE, ALNUM = "space", "alnum"
 _WORD_BYTES = {
@@ -103,6 +109,23 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end], elementwise, by blocks of eight bytes; equal bytes give equal hashes."""
+    size = end - start
+    whole = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", whole, strides=(1,))  # the eight bytes from every place
+    out = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(97))
+    short = np.flatnonzero(size <= LONG_WORD)
+    at, left, k = start[short], size[short], short
+    while len(k):
+        out[k] = mix(out[k] ^ (blocks[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        k, at, left = k[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words(texts: pa.Array, kind: str = SPACE, lower: bool = True) -> Words:
     data, at = text_bytes(texts)
     inside = np.zeros(len(data) + 1, bool)
@@ -114,21 +137,20 @@ def words(texts: pa.Array, kind: str = SPACE, lower: bool = True) -> Words:
     closes = inside[:-1] & ~inside[1:]
     closes[edges - 1] |= inside[edges - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    rolling = Rolling((_LOWER_VALUES if lower else _BYTE_VALUES).take(data), seed=1)
-    return Words(data, at, start, end, np.searchsorted(start, at), rolling.spans(start, end))
+    return Words(data, at, start, end, np.searchsorted(start, at), word_hashes(_LOWER.take(data) if lower else data, start, end))
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE_VALUES.take(data)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch whose texts hold at most `most` bytes, or one row."""
+def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch whose texts hold at most `most` bytes, or one row; of at most `rows` rows."""
     _, at = text_bytes(batch.column(batch.schema.get_field_index(column)))
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
-        j = min(j, batch.num_rows)
+        j = min(j, i + rows, batch.num_rows)
         yield batch.slice(i, j - i)
         i = j
 
