@@ -8,8 +8,11 @@ indexed by remaining capacity.  A bucket wastes at most about one window, so
 the loss against one global packing is one window in some thousands.
 
 Defined results: a null text is an empty document, which is its end token
-alone; repeated rows are packed once for each row; equal lengths are ordered by
-document and place; an empty table gives no rows.
+alone; a null doc_id is kept, and ids of any type and size come out as they went
+in; repeated rows are packed once for each row, dealt out by their place in the
+table, so that they don't crowd a bucket; equal lengths are ordered by document and
+place; a very long text makes many pieces; other columns don't matter; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,17 +197,21 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
-    """pieces (doc_id, start, length, ...) with sequence_id and offset; offsets are gapless from 0 in each sequence."""
+    """pieces (doc_id, start, length, ..., as read from files) with sequence_id and offset; offsets are gapless from 0 in each sequence."""
     buckets = max(1, -(-pieces.count() // bucket_pieces))
+    orders = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("row", "ascending")]
 
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        at, offset = best_fit(rows["length"].tolist(), window)
-        return rows.assign(sequence_id=np.array(at, np.int64) * buckets + rows.pop("bucket").to_numpy(np.int64), offset=np.array(offset, np.int64))
+    def packed(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=orders))
+        at, offset = best_fit(rows["length"].to_pylist(), window)
+        sequence = np.array(at, np.int64) * buckets + rows["bucket"].to_numpy()
+        rows = rows.drop_columns(["bucket", "row"])
+        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset, pa.int64()))
 
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))
+    # a row's number follows from the files alone, so a task run again gives the same
+    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(packed, schema)
+    return dealt.groupBy("bucket").applyInArrow(packed, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -65,3 +65,19 @@ def test_empty_table_and_null_ids(spark):
 def test_small_windows(spark, window):
     rows = pack(token_pieces(documents(spark, ["a b c d e f g h"]), tokenizer_path(), window=window, with_ids=False), window).collect()
     assert sum(r.length for r in rows) == 9 and max(r.length for r in rows) <= window
+
+
+def test_large_and_null_ids_of_one_bucket(spark):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "a b"), (None, "c"), (None, None), (big, "a b")], "doc_id long, text string")
+    rows = pack_documents(docs, tokenizer_path()).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted([str(big), str(big), "None", "None"])
+    assert sorted((r.sequence_id, r.offset) for r in rows)[0] == (0, 0) and len({(r.sequence_id, r.offset) for r in rows}) == 4
+
+
+def test_rows_of_one_id_fill_many_buckets(spark):
+    """One document's key holds most rows: they are dealt out all the same."""
+    docs = spark.createDataFrame([(7, "x")] * 600 + [(i, "y z") for i in range(50)], "doc_id long, text string")
+    pieces = token_pieces(docs, tokenizer_path(), with_ids=False)
+    rows = pack(pieces.repartition(3), 64, bucket_pieces=50).collect()
+    assert len(rows) == 650 and len({r.sequence_id % 13 for r in rows if r.doc_id == 7}) > 6
