@@ -48,6 +48,48 @@ def test_relaxed_search_recalls_most():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(close, want, strict=True)]) > 0.9
 
 
+def test_extreme_magnitudes(spark):
+    """Products that overflow, vanish or are not a number; one huge vector among ordinary ones; queries that repeat with unlike vectors."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(260, 6))
+    for scale in (1e160, 1e-170, 1e-300):
+        rows = [(i, v.tolist()) for i, v in enumerate(x * scale)]
+        assert search(spark, rows) == plain(rows)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1e200] * 6), (1001, [1e-200] * 6), (1020, [1e300, -1e300, 1e300, 1e300, -1e300, 1e300]), (1040, [1e-5, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    assert search(spark, rows) == plain(rows)
+    rows = [(i, v.tolist()) for i, v in enumerate(x[:50])] + [(20, x[60].tolist()), (20, x[61].tolist())]
+    least = {20: min(v for i, v in rows if i == 20)}
+    want = {q: sorted(((-product(np.array(least.get(q, rows[q][1])), np.array(y)), i) for i, y in rows if i != q))[:20] for q in (0, 20, 40)}
+    assert search(spark, rows) == {q: [(i, -s) for s, i in found] for q, found in want.items()}
+
+
+def plain(rows, k=20):
+    out = {}
+    for q, x in rows:
+        if q % 20 == 0:
+            with np.errstate(all="ignore"):
+                found = [(product(np.array(x), np.array(y)), i) for i, y in rows if i != q]
+            found.sort(key=lambda f: (np.isnan(f[0]), -np.nan_to_num(f[0], nan=-np.inf, posinf=np.inf, neginf=-np.inf), f[1]))
+            out[q] = [(i, s if s == s else None) for s, i in found[:k]]
+    return out
+
+
+def search(spark, rows, **options):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {}
+    for x in sorted(nearest(table, F.col("vec_id") % 20 == 0, **options).collect(), key=lambda x: x["rank"]):
+        out.setdefault(x.query_id, []).append((x.vec_id, x.score if x.score == x.score else None))
+    return out
+
+
+def test_many_shards_and_a_hot_vector(spark):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(20, 6))
+    x = centres[r.integers(0, 20, 900)] + 0.1 * r.normal(size=(900, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900 + i, x[3].tolist()) for i in range(450)]
+    assert search(spark, rows, shard_vectors=64) == plain(rows)
+
+
 def test_empty(spark):
     assert nearest(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     assert nearest(vectors(spark, [(0, [1.0])]), F.col("vec_id") % 20 == 0).count() == 0
