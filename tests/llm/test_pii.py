@@ -67,6 +67,93 @@ def test_redaction_and_empty(spark):
 
 
 def redacted_text():
-    from pyspark.sql import functions as F
-
-    return redacted(F.col("rest.text"), "accepted").alias("out")
+    return redacted("accepted").alias("out")
+
+
+def planted(n=300):
+    """Texts with known spans, base and beyond it, and decoys that no one should take."""
+    import random
+
+    r = random.Random(5)
+
+    def card():
+        d = [4] + [r.randrange(10) for _ in range(14)]
+        total = sum(x if i % 2 else (2 * x - 9 * (2 * x > 9)) for i, x in enumerate(d))
+        return "".join(map(str, [*d, -total % 10]))
+
+    def phone():
+        return f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(10000):04d}"
+
+    def ip():
+        return ".".join(str(r.randrange(11, 256)) for _ in range(4))
+
+    texts, more, secrets = [], [], []
+    for i in range(n):
+        out, extra, secret = "", [], []
+
+        def put(kind, value, into, gap):
+            nonlocal out
+            out += gap
+            into.append(f"{kind}:{len(out)}:{len(out) + len(value)}")
+            out += value
+
+        kind = i % 6
+        if kind == 0:
+            put("card", card(), extra, "thé pay ")
+            put("card", card(), extra, " ")
+        elif kind == 1:
+            put("phone", phone(), extra, "ring ")
+            put("card", card(), extra, " ")
+        elif kind == 2:
+            put("secret", "".join(r.choice("0123456789abcdef") for _ in range(40)), secret, 'x token = "')
+            out += '" end'
+        elif kind == 3:  # a number that is no card
+            d = card()
+            out += f"no {'7' + d[1:]} there"
+        elif kind == 4:
+            out += f"mail a.{i}@mail.example.com or {ip()} or {phone()} or {card()}, so"
+        else:
+            out += f"plain words {r.randrange(1000)} of {r.randrange(3000)} und so weiter"
+        texts.append(out)
+        more.append(extra)
+        secrets.append(secret)
+    return texts, more, secrets
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    texts, more, secrets = planted()
+    rows = personal_data(documents(spark, texts)).collect()
+    check(rows, texts)
+    added = wanted = right = 0
+    for r in rows:
+        base = {":".join(map(str, x)) for x in brute(texts[r.doc_id])}
+        got = {x for x in r.spans.split(",") if x and x not in base}
+        want = {x for x in more[r.doc_id] if x not in base}
+        added, wanted, right = added + len(got), wanted + len(want), right + len(got & want)
+        assert {x for x in r.secrets.split(",") if x} == set(secrets[r.doc_id]), texts[r.doc_id]
+        assert r.n_found == len(base) + len(got) + len(secrets[r.doc_id])
+    assert wanted > 150 and right / wanted >= 0.95 and right / added >= 0.95, (added, wanted, right)
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"u{i}@mail.example.com" for i in range(24_000))
+    docs = documents(spark, [text, "x"]).selectExpr("cast(null as bigint) as doc_id", "text", "'a' as base", "'b' as kind", "'c' as spans")
+    docs = docs.unionByName(docs)
+    began = time.time()
+    rows = sorted(personal_data(docs).collect(), key=lambda r: -r.n_email)
+    assert [r.n_email for r in rows] == [24_000, 24_000, 0, 0] and rows[0] == rows[1]
+    assert rows[0].base_sha256 == hashlib.sha256(",".join(":".join(map(str, x)) for x in brute(text)).encode()).hexdigest()
+    assert time.time() - began < 60
+
+
+def test_redaction_against_brute_force(spark):
+    rows = spans(documents(spark, TEXTS + planted(40)[0]), carry=("text",))
+    for r in rows.select("text", "accepted", "secrets", redacted("concat(accepted, secrets)").alias("out")).collect():
+        out, at = "", 0
+        for start, end, kind in sorted((x.start, x.end, x.kind) for x in r.accepted + r.secrets):
+            if start >= at:
+                out += r.text[at:start] + f"[{kind.upper()}]"
+            at = max(at, end)
+        assert r.out == (None if r.text is None else out + r.text[at:])
