@@ -1,23 +1,27 @@
 """Hidden Markov language model over words.
 
-Training words are counted over all training documents.  The FREQUENT most
-frequent words have emissions of their own; all others, unknown words
-included, share one open class, in which a word of count c has probability
-(c + 1) / (N_open + V_open + 1).  So the model spreads exactly one unit of
-probability over all words and one unknown word.
-
-Baum-Welch: each pass sums the expected counts of all training documents, every
-one read whole, gathered by partition and word, and re-estimates the model.  For
-speed a pass walks all segments of its documents at once; the state is carried
-over their borders in both directions, so the counts are those of whole
-sequences.  Scoring runs the scaled forward recursion over the whole sequence.
-
-What is broadcast is bounded by FREQUENT and the number of states.  The words
-outside it meet their counts in a join on the word.
-
-Defined results: a null text is empty, so it is its end token alone; repeated
-rows are scored and counted once for each row; without training documents every
-word has probability one; an empty table gives no rows.
+Training words are counted over all training documents.  Baum-Welch: each pass
+sums the expected counts of all training documents, every one read whole, and
+re-estimates the model.  For speed a pass walks all documents of a batch at once,
+long ones in segments; the state is carried over their borders in both
+directions, so the counts are those of whole sequences.
+
+The FREQUENT most frequent words have emissions of their own throughout; they are
+a broadcast of bounded size.  During the passes all others share one open class.
+The last pass gathers expected counts for every training word, rare ones in a
+table keyed by word that grows with the corpus; from it each rare word gets
+emissions of its own, by how its occurrences were shared out among the states (in
+255ths).  A word of count c has probability (c + 1) / (N + V + 1) times a factor
+for each state; the states' sums over all training words and one unknown word are
+taken over the whole table, so each state spreads exactly one unit of probability.
+Scoring joins the documents' rare words with the table and runs the scaled
+forward recursion over the whole sequence.
+
+Defined results: a null text is empty, so it is its end token alone; a null doc_id
+is kept; repeated rows are scored and counted once for each row; of words of equal
+count those of smaller hash are frequent, which changes no contracted count; a very
+long text is one sequence; other columns don't matter; without training documents
+every word has probability one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,15 +41,21 @@ STATES = 6
 #: Words with emissions of their own.
 FREQUENT = 1 << 17
 #: Passes over all training documents.
-PASSES = 14
+PASSES = 8
 #: Tokens of the segments that a pass walks at once; results don't depend on it.
-SEGMENT = 256
+SEGMENT = 1024
+#: Tokens of a batch of a pass, and of scoring.
+BATCH_TOKENS = 250_000
+#: Steps in which a rare word's share of each state is kept.
+STEPS = 255
 #: Tokens of a task in a pass, unless there are fewer tasks than twice the cores.
 TASK_TOKENS = 20_000_000
 #: Counts by which a word's share in each state is drawn to the state's share of all words.
 SHRINKAGE = 4.0
 #: Distinct words a task counts before it hands them on.
 TASK_WORDS = 1_000_000
+#: Rare words whose expected counts a task holds before it hands them on.
+TASK_RARE = 300_000
 END = np.uint64(0x9AE16A3B2F90404F)
 
 
@@ -158,24 +168,25 @@ def first_model(prior: np.ndarray, states: int) -> Model:
     return Model(np.full(states, 1 / states), step, emit / emit.sum(axis=0))
 
 
-def padded(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token matrix of time x sequences, sequences by decreasing length; how many run at each time; their order."""
+def padded(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the tokens by time, then sequence, sequences by decreasing length; how many run at each time; their order."""
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     most = int(size.max()) if len(size) else 0
     running = np.searchsorted(-size[order], -np.arange(most), "left")
-    flat = np.empty(len(tokens), np.int64)
+    flat = np.empty(int(size.sum()), np.int64)
     at = 0
     begin = first[:-1][order]
     for t, n in enumerate(running.tolist()):
         flat[at : at + n] = begin[:n] + t
         at += n
-    return tokens[flat], running, order
+    return flat, running, order
 
 
 def log_likelihood(model: Model, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 probability of each sequence by the scaled forward recursion; every sequence has a token."""
-    code, running, order = padded(tokens, first)
+    flat, running, order = padded(first)
+    code = tokens[flat]
     out = np.zeros(len(first) - 1)
     total = np.zeros(len(first) - 1)
     a, at = None, 0
@@ -243,10 +254,22 @@ class Expected:
 
     def __init__(self, words: int, states: int):
         self.start, self.step, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((words, states))
-
-    def add(self, model: Model, tokens: np.ndarray, first: np.ndarray) -> None:
+        self.rare: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, model: Model, tokens: np.ndarray, first: np.ndarray, rare: np.ndarray | None = None) -> None:
+        """Adds sequences; rare: the hashes of their open-class tokens, if these are to be counted word by word."""
+        size = np.diff(first)
+        opened = len(self.emit) - 1
+        number = np.cumsum(tokens == opened) - 1 if rare is not None else None
+        for chosen in (np.flatnonzero(size <= SEGMENT), np.flatnonzero(size > SEGMENT)):
+            if len(chosen):
+                at = ranges(first[chosen], size[chosen])
+                self.walk(model, tokens[at], np.concatenate([[0], np.cumsum(size[chosen])]), None if rare is None else (rare, number[at]))
+
+    def walk(self, model: Model, tokens: np.ndarray, first: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None) -> None:
         bounds, heads = segments(first, SEGMENT)
-        code, running, order = padded(tokens, bounds)
+        flat, running, order = padded(bounds)
+        code = tokens[flat]
         k = len(model.start)
         seen = model.emit.take(code, axis=0)
         begin, behind = carried(model, seen, running, order, heads)
@@ -278,10 +301,28 @@ class Expected:
         used, place = np.unique(code, return_inverse=True)
         for s in range(k):
             self.emit[used, s] += np.bincount(place, ahead[:, s], len(used))
+        if rare is not None:
+            hashes, number = rare
+            open_class = np.flatnonzero(code == len(self.emit) - 1)
+            words, place = np.unique(hashes[number[flat[open_class]]], return_inverse=True)
+            self.rare.append((words, np.stack([np.bincount(place, minlength=len(words)).astype(float), *(np.bincount(place, ahead[open_class, s], len(words)) for s in range(k))], axis=1)))
+
+    def rare_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the rare words so far, each with its count and its expected counts by state; they are forgotten."""
+        if not self.rare:
+            return np.empty(0, np.int64), np.empty((0, 1 + len(self.start)))
+        words, place = np.unique(np.concatenate([w for w, _ in self.rare]), return_inverse=True)
+        parts = np.concatenate([c for _, c in self.rare])
+        self.rare = []
+        return words, np.stack([np.bincount(place, parts[:, i], len(words)) for i in range(parts.shape[1])], axis=1)
+
+    def share(self) -> np.ndarray:
+        """Each state's share of all tokens."""
+        share = self.emit.sum(axis=0) + 1e-9
+        return share / share.sum()
 
     def model(self, prior: np.ndarray) -> Model:
-        share = self.emit.sum(axis=0) + 1e-9
-        share /= share.sum()
+        share = self.share()
         of_word = self.emit.sum(axis=1, keepdims=True)
         emit = prior[:, None] * (self.emit + SHRINKAGE * share) / ((of_word + SHRINKAGE) * share)
         return Model((self.start + 1) / (self.start + 1).sum(), (self.step + 1) / (self.step + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
@@ -301,50 +342,98 @@ def pieces(rows: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator
         i = j
 
 
-def baum_welch_pass(training: DataFrame, model: Model, prior: np.ndarray) -> Model:
-    """One pass: each task sums its expected counts, Spark sums them by word, the driver gets the bounded totals."""
+def baum_welch_pass(training: DataFrame, model: Model, prior: np.ndarray, with_rare: bool = False) -> tuple[Expected, DataFrame]:
+    """One pass over training (tokens, rare): each task sums its expected counts, Spark sums them by word.
+
+    The driver gets the bounded totals.  With `with_rare` the second result holds
+    every rare word: word, n (its count) and s0, s1, ... (its expected counts).
+    """
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(model)
     n_words, k = model.emit.shape
-    schema = pa.schema([("word", pa.int32()), *((f"s{i}", pa.float32()) for i in range(k))])
+    sums_of = [f"s{i}" for i in range(k)]
+    schema = pa.schema([("rare", pa.bool_()), ("word", pa.int64()), ("n", pa.float64()), *((c, pa.float64()) for c in sums_of)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Expected(n_words, k)
+
+        def rare_words():
+            words, counts = sums.rare_counts()
+            return batch(schema, np.ones(len(words), bool), words, *counts.T)
+
         for rows in batches:
-            for part in pieces(rows, 0, 500_000):
-                sums.add(shared.value, *lists(part.column(0)))
+            for part in pieces(rows, 0, BATCH_TOKENS):
+                sums.add(shared.value, *lists(part.column(0)), lists(part.column(1))[0] if with_rare else None)
+                if sum(len(w) for w, _ in sums.rare) > TASK_RARE:
+                    yield rare_words()
+        if with_rare:
+            yield rare_words()
         if not sums.emit.any():
             return
         # starts and steps go under numbers below zero
         table = np.concatenate([sums.emit, sums.step, sums.start[None]])
         number = np.concatenate([np.arange(n_words), -2 - np.arange(k), [-1]])
         some = table.any(axis=1)
-        yield batch(schema, number[some], *table[some].astype(np.float32).T)
-
-    ddl = "word int, " + ", ".join(f"s{i} float" for i in range(k))
-    found = training.select("tokens").mapInArrow(run, ddl).groupBy("word").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toPandas()
-    table, number = found.iloc[:, 1:].to_numpy(), found["word"].to_numpy()
+        yield batch(schema, np.zeros(some.sum(), bool), number[some], np.zeros(some.sum()), *table[some].T)
+
+    ddl = "rare boolean, word long, n double, " + ", ".join(f"{c} double" for c in sums_of)
+    columns = ["tokens", "rare"] if with_rare else ["tokens"]
+    found = training.select(*columns).mapInArrow(run, ddl).groupBy("rare", "word").agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in sums_of])
+    if with_rare:
+        found = saved(found, "expected")
+    own = found.filter(~F.col("rare")).drop("rare", "n").toPandas()
+    table, number = own.iloc[:, 1:].to_numpy(), own["word"].to_numpy()
     sums = Expected(n_words, k)
     sums.emit[number[number >= 0]] = table[number >= 0]
     for i in range(k):
         sums.step[i] = table[number == -2 - i].sum(axis=0)
     sums.start = table[number == -1].sum(axis=0)
-    return sums.model(prior)
+    return sums, found.filter("rare").drop("rare")
+
+
+@dataclass
+class Trained:
+    """A model of all words: model.emit holds the frequent words and, last, an unknown one; rare ones are in a table."""
+
+    model: Model
+    share: np.ndarray
+    norm: np.ndarray
+    rare: DataFrame | None  # word, n, steps (a byte for each state)
+
+    def emissions(self, n: np.ndarray, steps: np.ndarray, total: int) -> np.ndarray:
+        """Of rare words of these counts, by state."""
+        of_state = (steps[:, None] >> (8 * np.arange(len(self.share)))) & 255
+        return ((n + 1.0) / total)[:, None] * (of_state / STEPS) / self.share / self.norm
 
 
-def train(sequences: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
-    """Baum-Welch over the rows of `encoded` that aren't held out."""
-    training = sequences.filter(~F.col("held_out")).select("tokens")
+def train(sequences: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> Trained:
+    """Baum-Welch over the rows of `encoded` that aren't held out; states <= 7, passes >= 1."""
+    training = sequences.filter(~F.col("held_out")).select("tokens", "rare")
     prior = vocab.prior()
     model = first_model(prior, states)
     if not vocab.tokens:
-        return model
+        return Trained(model, np.full(states, 1 / states), np.ones(states), None)
     # each task hands on its words' sums once, so tasks are no more than they need be
     tasks = max(2 * sequences.sparkSession.sparkContext.defaultParallelism, -(-vocab.tokens // TASK_TOKENS))
     training = training.coalesce(tasks)
-    for _ in range(passes):
-        model = baum_welch_pass(training, model, prior)
-    return model
+    for turn in range(passes):
+        sums, rare = baum_welch_pass(training, model, prior, turn == passes - 1)
+        model = sums.model(prior)
+    # every word of the open class gets what its own occurrences say
+    share, total = sums.share(), vocab.tokens + vocab.types + 1
+    e = sum(F.col(f"s{i}") for i in range(states))
+    steps = [F.greatest(F.lit(1), F.round(STEPS * (F.col(f"s{i}") + SHRINKAGE * float(share[i])) / (e + SHRINKAGE)).cast("long")) for i in range(states)]
+    packed = steps[0]
+    for i in range(1, states):
+        packed = packed.bitwiseOR(F.shiftleft(steps[i], 8 * i))
+    rare = saved(rare.select("word", "n", packed.cast("long").alias("steps")), "rare")
+    of_state = [(F.shiftright("steps", 8 * i).bitwiseAND(255) * (F.col("n") + 1)) for i in range(states)]
+    mass = rare.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("double").alias(f"m{i}") for i, x in enumerate(of_state)]).first()
+    of_word = sums.emit[:-1].sum(axis=1, keepdims=True)
+    emit = prior[:-1, None] * (sums.emit[:-1] + SHRINKAGE * share) / ((of_word + SHRINKAGE) * share)
+    unknown = np.full((1, states), 1.0 / total)
+    norm = emit.sum(axis=0) + np.array([float(m) for m in mass]) / STEPS / share / total + unknown[0]
+    return Trained(Model(model.start, model.step, np.concatenate([emit, unknown]) / norm), share, norm, rare)
 
 
 def score(docs: DataFrame, held_out: Column, states: int = STATES, frequent: int = FREQUENT, passes: int = PASSES) -> DataFrame:
@@ -354,36 +443,44 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, frequent: int
     counts = saved(word_counts(docs.filter(~held_out)), "counts")
     vocab = vocabulary(counts, frequent)
     sequences = encoded(docs, held_out, vocab)
-    model = train(sequences, vocab, states, passes)
-    shared = spark.sparkContext.broadcast((model, vocab.base(), vocab.words))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", arrow_type(docs)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("hidden", pa.float64())])
+    trained = train(sequences, vocab, states, passes)
+    total = vocab.tokens + vocab.types + 1
+    known = "array<struct<word:bigint,n:bigint,steps:bigint>>"
+    if trained.rare is None:
+        full = sequences.withColumn("known", F.lit(None).cast(known))
+    else:
+        # each rare word of a document meets its count and emissions
+        wanted = sequences.select("row", F.explode(F.array_distinct("rare")).alias("word"))
+        met = wanted.join(trained.rare, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n", "steps")).alias("known"))
+        full = sequences.join(met, "row", "left")
+    held = Trained(trained.model, trained.share, trained.norm, None)
+    shared = spark.sparkContext.broadcast((held, vocab.base()))
+    schema = pa.schema([("doc_id", arrow_type(docs)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def make():
-        model, base, _ = shared.value
-        base = np.append(base, 0.0)
+        trained, base = shared.value
+        frequent = len(base)
 
         def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in pieces(rows, 3):
-                tokens, first = lists(part.column(3))
-                size = np.diff(first)
-                known = np.add.reduceat(tokens < len(base) - 1, first[:-1], dtype=np.int64)
-                yield batch(schema, part.column(0), part.column(1), part.column(2), size, known, np.add.reduceat(base[tokens], first[:-1]), log_likelihood(model, tokens, first))
+            for part in pieces(rows, 2, BATCH_TOKENS):
+                tokens, first = lists(part.column(2))
+                rare, _ = lists(part.column(3))
+                met = part.column(4).flatten()
+                words, one = np.unique(met.field("word").to_numpy(zero_copy_only=False), return_index=True)
+                n = met.field("n").to_numpy(zero_copy_only=False)[one].astype(np.int64)
+                steps = met.field("steps").to_numpy(zero_copy_only=False)[one].astype(np.int64)
+                # rare words known to the model are numbered after the unknown one
+                code = tokens.astype(np.int64)
+                if len(words) and len(rare):
+                    at = np.minimum(np.searchsorted(words, rare), len(words) - 1)
+                    code[code == frequent] = np.where(words[at] == rare, frequent + 1 + at, frequent)
+                emit = np.concatenate([trained.model.emit, trained.emissions(n, steps, total)])
+                of_base = np.concatenate([base, [np.log10(1 / total)], np.log10((n + 1) / total)])
+                known = np.add.reduceat(code != frequent, first[:-1], dtype=np.int64)
+                model = Model(trained.model.start, trained.model.step, emit)
+                yield batch(schema, part.column(0), part.column(1), np.diff(first), known, np.add.reduceat(of_base[code], first[:-1]), log_likelihood(model, code, first))
 
         return each
 
-    scored = arrow_map(sequences.select("row", "doc_id", "held_out", "tokens"), f"row long, doc_id {id_type(docs)}, held_out boolean, n_tokens long, n_frequent long, base double, hidden double", make)
-    # each word of the open class meets its count
-    least = int(vocab.counts[-1]) if len(vocab.counts) else 0
-    open_counts = counts.filter(F.col("n") <= least).withColumnRenamed("n", "c")
-    rare = sequences.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    sums = rare.join(open_counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(c + 1.0)).alias("logs"), F.sum("n").alias("n_open"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_open_known")
-    )
-    zero = lambda name: F.coalesce(name, F.lit(0))
-    logs, n_open = F.coalesce("logs", F.lit(0.0)), zero("n_open")
-    return scored.join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + zero("n_open_known")).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - n_open * float(np.log10(vocab.tokens + vocab.types + 1))).alias("base_score"),
-        (F.col("hidden") + logs - n_open * float(np.log10(vocab.open_total()))).alias("score"),
-    )
+    scored = arrow_map(full.select("doc_id", "held_out", "tokens", "rare", "known"), f"doc_id {id_type(docs)}, held_out boolean, n_tokens long, n_known long, base_score double, score double", make)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
