@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from linkwright.llm.runtime import arrow_map, arrow_type, batch, id_type, saved
+from linkwright.llm.runtime import arrow_map, arrow_type, batch, id_type, rest_of, saved
 from linkwright.llm.words import ALNUM, Rolling, chunks, mix, ranges, sliding_min, words
 
 WIDTH = 10
@@ -125,14 +125,13 @@ def blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, gram: int = GRAM, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, n_words, spans (word ranges hit, merged) and items (ids as strings, sorted), a row for each document.
 
-    Columns named in `carry` come along in one struct, `rest`.
+    Columns named in `carry`, but for the text, come along in one struct, `rest`.
     """
     spark = docs.sparkSession
     kind = arrow_type(docs)
     schema = pa.schema([("doc_id", kind), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
     ddl = f"doc_id {id_type(docs)}, text string, n_words long, spans array<array<bigint>>, items array<string>"
-    rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"), *rest)
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"), *rest_of(carry))
     if carry:
         ddl += f", rest {out.schema['rest'].dataType.simpleString()}"
         schema = schema.append(pa.field("rest", to_arrow_type(out.schema["rest"].dataType)))

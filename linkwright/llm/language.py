@@ -6,13 +6,20 @@ least loss, each bit weighed by how well it told that language apart in
 training; a small gap to the second one flags the prediction as ambiguous.
 
 The classifiers are fitted on a bounded sample of the distinct labelled texts with
-a letter, drawn for each language (SAMPLE_PER_LANGUAGE); copies of a text count
-once, and every language that has such a text is learnt.  Every whole text is
-predicted.
+a letter, drawn for each language (SAMPLE_PER_LANGUAGE, less if there are so many
+languages that SAMPLE_ROWS would be passed); copies of a text count once, and
+every language that has such a text is learnt.  Every whole text is predicted.
+
+Memory: texts are turned into dense rows of BUCKETS weights, at most CHUNK_ROWS
+of them at once however short they are; the driver holds at most about
+2 x SAMPLE_ROWS such rows, in half precision.
 
 Defined results: a null text or one without a letter is `und` with score 0, as
-is every text where there is nothing to learn from; repeated rows get equal
-predictions; an empty table gives no rows.
+is every text where there is nothing to learn from; of languages of equal loss the
+first by name is predicted, flagged as ambiguous; repeated rows get equal
+predictions; a very long text is one row whatever its length; extra columns, also
+such as are named like a result, don't matter and come along only in `rest`; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from linkwright.llm.runtime import arrow_map, arrow_type, batch, id_type
+from linkwright.llm.runtime import arrow_map, arrow_type, batch, id_type, rest_of
 from linkwright.llm.words import chunks, text_bytes
 
 #: Training texts of each language, about; of fewer than twice as many, all are read.
 SAMPLE_PER_LANGUAGE = 1500
+#: Training texts of all languages, about; each has LEAST_SAMPLE at least.
+SAMPLE_ROWS, LEAST_SAMPLE = 12_000, 4
+#: Texts that are rows of weights at once.
+CHUNK_ROWS = 256
 #: Hash buckets of the n-grams.
 BUCKETS = 4096
 #: Loss below which the second codeword makes a prediction ambiguous.
@@ -101,15 +112,17 @@ class Codes:
             order = r.permutation(len(y))
             for i in range(0, len(y), 256):
                 at = order[i : i + 256]
-                margin = target[at] * (x[at] @ self.weights + self.bias)
+                some = x[at].astype(np.float32)
+                margin = target[at] * (some @ self.weights + self.bias)
                 slope = -target[at] * (balance[at] / len(at))[:, None] / (1 + np.exp(np.clip(margin, -30, 30)))
-                g = x[at].T @ slope + 1e-6 * self.weights
+                g = some.T @ slope + 1e-6 * self.weights
                 step += 1
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
                 self.weights -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
                 self.bias -= 0.5 * slope.sum(axis=0)
         # how often each bit was right for each language; rows add up to the number of bits
-        right = (np.sign(x @ self.weights + self.bias) == target).astype(np.float32)
+        margin = np.concatenate([x[i : i + 256].astype(np.float32) @ self.weights for i in range(0, len(x), 256)])
+        right = (np.sign(margin + self.bias) == target).astype(np.float32)
         share = np.stack([right[y == i].mean(axis=0) if (y == i).any() else np.ones(bits) for i in range(len(languages))])
         self.trust = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-9) * bits
 
@@ -130,6 +143,7 @@ def fit(training: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Codes | None:
     sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     if not sizes:
         return None
+    sample = max(LEAST_SAMPLE, min(sample, SAMPLE_ROWS // len(sizes)))
     # a language of under twice `sample` texts is taken whole; of others each text has the same chance, however often it is repeated
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, n // sample))])
     some = training.filter(F.pmod("key", share[F.col("lang")]) == 0).groupBy("lang", "key").agg(F.first("text").alias("text")).select("text", "lang")
@@ -137,7 +151,7 @@ def fit(training: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Codes | None:
 
     def make():
         def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in chunks(rows):
+            for part in chunks(rows, rows=CHUNK_ROWS):
                 x, lettered = features(part.column(0))
                 kept = np.flatnonzero(lettered)
                 yield batch(schema, part.column(1).take(pa.array(kept)), [row.tobytes() for row in x[kept].astype(np.float16)])
@@ -148,27 +162,30 @@ def fit(training: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Codes | None:
     languages = sorted(set(found["lang"].to_pylist()))
     if not languages:
         return None
-    x = np.frombuffer(b"".join(v.as_buffer() for v in found["x"]), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    x = np.frombuffer(b"".join(v.as_buffer() for v in found["x"]), np.float16).reshape(-1, BUCKETS)
     place = {lang: i for i, lang in enumerate(languages)}
     return Codes(languages, x, np.array([place[v] for v in found["lang"].to_pylist()]))
 
 
 def identify(docs: DataFrame, training: Column, sample: int = SAMPLE_PER_LANGUAGE, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous (and `rest`, the columns named in carry) of every row; learnt from the rows where `training` holds."""
+    """doc_id, lang_pred, score and ambiguous of every row; learnt from the rows where `training` holds.
+
+    With `carry`, the text and the columns named, but for the text, in one struct `rest` come along.
+    """
     codes = fit(docs.filter(training), sample)
     shared = docs.sparkSession.sparkContext.broadcast(codes)
     schema = pa.schema([("doc_id", arrow_type(docs)), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
     ddl = f"doc_id {id_type(docs)}, lang_pred string, score double, ambiguous boolean"
-    columns = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] * bool(carry))
+    columns = docs.select("doc_id", F.col("text").cast("string").alias("text"), *rest_of(carry))
     if carry:
-        ddl += f", rest {columns.schema['rest'].dataType.simpleString()}"
-        schema = schema.append(pa.field("rest", to_arrow_type(columns.schema["rest"].dataType)))
+        ddl += f", text string, rest {columns.schema['rest'].dataType.simpleString()}"
+        schema = schema.append(pa.field("text", pa.string())).append(pa.field("rest", to_arrow_type(columns.schema["rest"].dataType)))
 
     def make():
         codes = shared.value
 
         def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in chunks(rows):
+            for part in chunks(rows, rows=CHUNK_ROWS):
                 x, lettered = features(part.column(1))
                 if codes is None:
                     lettered[:] = False
@@ -176,7 +193,7 @@ def identify(docs: DataFrame, training: Column, sample: int = SAMPLE_PER_LANGUAG
                 else:
                     best, share, gap = codes.decode(x)
                 names = [codes.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-                yield batch(schema, part.column(0), names, np.where(lettered, share, 0.0), (gap < MARGIN) | ~lettered, *part.columns[2:])
+                yield batch(schema, part.column(0), names, np.where(lettered, share, 0.0), (gap < MARGIN) | ~lettered, *part.columns[1:] if carry else [])
 
         return each
 
