@@ -14,16 +14,12 @@ from linkwright.llm.language import UNKNOWN, identify
 from linkwright.llm.packing import pack_documents
 from linkwright.llm.pii import redacted, spans
 from linkwright.llm.queries import remainder, table, tokenizer_path
-from linkwright.llm.runtime import saved
+from linkwright.llm.runtime import columns_of, saved
 
 #: Near-duplicates: shingles of five words, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 
 
-def columns_of(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    return rest.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are `und` (no text, or no letter in it) go; which language the others are in, and whether that is ambiguous, decides nothing here."""
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
@@ -42,14 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = members.filter("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "copies")).alias("m"))
     keep = first.select("m.doc_id", "m.key", "m.copies").union(members.filter("part IS NULL").select("doc_id", "key", "copies"))
     keep = saved(keep, "keep").alias("k")
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")  # the text in it
     own = docs.select(rest, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key")).alias("d")
     found = own.join(keep, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.key") == F.col("k.key")))
     kept = found.filter("copies = 1").select("rest")
     if keep.filter("copies > 1").take(1):
         again = found.filter("copies > 1").groupBy("d.doc_id", "d.key").agg(F.min_by("rest", F.to_json("rest")).alias("rest"))
         kept = kept.union(again.select("rest"))
-    return columns_of(kept, docs)
+    return kept.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +55,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind; n_chars follows."""
+    """Personal data and secrets in the texts are replaced by their kinds; n_chars follows.  A null text stays null."""
     found = spans(docs, carry=tuple(docs.columns))
-    text = redacted(F.coalesce(F.col("rest.text").cast("string"), F.lit("")), "accepted")
-    clean = F.when(F.col("rest.text").isNotNull(), text)
-    new = {"text": clean, "n_chars": F.length(clean).cast("long")}
-    return found.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    clean = F.when(F.col("text").isNotNull(), redacted("concat(accepted, secrets)"))
+    found = found.select("rest", clean.alias("text"))
+    out = columns_of(found, docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
