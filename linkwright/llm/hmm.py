@@ -41,11 +41,11 @@ STATES = 6
 #: Words with emissions of their own.
 FREQUENT = 1 << 17
 #: Passes over all training documents.
-PASSES = 8
+PASSES = 6
 #: Tokens of the segments that a pass walks at once; results don't depend on it.
-SEGMENT = 1024
+SEGMENT = 512
 #: Tokens of a batch of a pass, and of scoring.
-BATCH_TOKENS = 250_000
+BATCH_TOKENS = 600_000
 #: Steps in which a rare word's share of each state is kept.
 STEPS = 255
 #: Tokens of a task in a pass, unless there are fewer tasks than twice the cores.
