@@ -34,12 +34,12 @@ def csv_records(rows: DataFrame, source: str = "recruiter.csv") -> DataFrame:
 
 
 def ats_records(rows: DataFrame, source: str = "ats.json") -> DataFrame:
-    """ATS rows; records that say nothing are dropped."""
+    """ATS rows; records that say nothing are dropped, and one without an id has a hash of its content as its id."""
     base = SOURCE_CONFIDENCE[source]
     tags = F.col("tags") if "tags" in rows.columns else F.array("tag1", "tag2")
     get = lambda c: C.blank_to_null(F.col(c)) if c in rows.columns else F.lit(None).cast("string")
     out = rows.select(
-        (F.col("ext_seq") + ATS_OFFSET).cast("long").alias("ext_seq"), F.col("ats_record_id").alias("ext_id"), F.lit(source).alias("source"), F.lit(base).alias("base"),
+        (F.col("ext_seq") + ATS_OFFSET).cast("long").alias("ext_seq"), F.coalesce(get("ats_record_id"), F.md5(F.to_json(F.struct(*sorted(c for c in rows.columns if c != "ext_seq"))))).alias("ext_id"), F.lit(source).alias("source"), F.lit(base).alias("base"),
         get("display_name").alias("name"), get("primary_email").alias("email"), F.when(get("primary_email").isNotNull(), F.lit(base)).alias("email_confidence"), get("mobile").alias("phone"), F.lit(None).cast("string").alias("github"),
         get("geo").alias("location"), get("employer").alias("company"), get("job_title").alias("title"), F.filter(tags, lambda t: F.trim(t) != "").alias("skills"))
     return out.filter(F.coalesce("name", "email", "phone", "location", "company", "title").isNotNull() | (F.size("skills") > 0))

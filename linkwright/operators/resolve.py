@@ -18,7 +18,7 @@ def values(records: DataFrame, clusters: DataFrame) -> DataFrame:
     more = lambda field, col, conf: F.transform(F.coalesce(col, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(field).alias("field"), x.alias("value"), F.col(conf).alias("confidence"), (i + 1).alias("pos")))
     all_values = F.concat(one("full_name", "name", F.col("base")), one("emails", "email", F.col("email_confidence")), one("phones", "phone", F.col("base")), one("location", "location", F.col("base")), more("emails", "more_emails", "email_confidence"), more("phones", "more_phones", "base"), skills)
     rows = records.join(clusters, "ext_seq").select("cluster", "ext_seq", "source", F.explode(all_values).alias("v"))
-    return rows.select("cluster", "v.field", "v.value", "source", "v.confidence", (F.col("ext_seq") * 1000 + F.col("v.pos")).alias("ord")).filter("value IS NOT NULL")
+    return rows.select("cluster", "v.field", "v.value", "source", "v.confidence", F.struct("ext_seq", "v.pos").alias("ord")).filter("value IS NOT NULL")
 
 
 def supported(vals: DataFrame) -> DataFrame:

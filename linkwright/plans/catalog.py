@@ -375,3 +375,32 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+MERGE_FIRST = """SELECT c_custkey AS ext_seq, concat('Person ', CAST(c_custkey AS STRING)) AS name, concat('m', CAST(c_custkey AS STRING), '@example.com') AS email,
+ concat('+91 9', lpad(CAST(c_custkey AS STRING), 9, '0')) AS phone, 'Old Co' AS current_company, 'Engineer' AS title, CAST(NULL AS STRING) AS github_url, concat('City ', CAST(c_custkey % 7 AS STRING)) AS location FROM customer"""
+MERGE_SECOND = """SELECT c_custkey AS ext_seq, CAST(NULL AS STRING) AS name, concat('M', CAST(c_custkey AS STRING), '@Example.com ') AS email,
+ CAST(NULL AS STRING) AS phone, 'New Co' AS current_company, 'Lead' AS title, concat('https://github.com/m', CAST(c_custkey AS STRING)) AS github_url, CAST(NULL AS STRING) AS location FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey + 10000000, 'Another Name', CAST(NULL AS STRING), concat('+91 9', lpad(CAST(c_custkey AS STRING), 9, '0')), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM customer WHERE c_custkey % 4 = 0"""
+
+
+@query(oracle="""SELECT concat('m', CAST(c_custkey AS VARCHAR), '@example.com') AS email, concat('Person ', CAST(c_custkey AS VARCHAR)) AS full_name,
+ concat('+919', lpad(CAST(c_custkey AS VARCHAR), 9, '0')) AS phone, concat('City ', CAST(c_custkey % 7 AS VARCHAR)) AS location,
+ CASE WHEN c_custkey % 2 = 0 THEN concat('https://github.com/m', CAST(c_custkey AS VARCHAR)) END AS github,
+ CASE WHEN c_custkey % 2 = 0 THEN 'Old Co/Engineer|New Co/Lead' ELSE 'Old Co/Engineer' END AS experience,
+ CASE WHEN c_custkey % 4 = 0 THEN 0.725 ELSE 0.75 END::DOUBLE AS overall_confidence FROM customer""")
+def incremental_merge(spark, sf_dir):
+    """Two runs against one store: what the second brings joins what the first stored, also where it falls into two clusters of one entity."""
+    import uuid
+
+    from linkwright.operators.checkpoint import shared_folder
+    from linkwright.operators.store import Store
+    from linkwright.plans.pipeline import all_records, run
+    from linkwright.sources.derived import _sql
+
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    for text in (MERGE_FIRST, MERGE_SECOND):
+        run(all_records(csv=_sql(spark, sf_dir, text, ("customer",))), store)
+    return store.read("entities").select(
+        F.get("emails", F.lit(0))["value"].alias("email"), F.col("full_name.value").alias("full_name"), F.get("phones", F.lit(0))["value"].alias("phone"), F.col("location.value").alias("location"), "github",
+        joined(F.transform("experience", lambda x: F.concat_ws("/", x["company"], x["title"]))).alias("experience"), "overall_confidence")

@@ -12,6 +12,8 @@ from linkwright.operators.linkage import cluster_ids, component_clusters, greedy
 from linkwright.operators.project import project
 from linkwright.operators.resolve import entities
 from linkwright.operators.store import Store
+from linkwright.operators.checkpoint import saved
+from linkwright.operators.extract import ats_records
 from linkwright.operators.validate import validated
 from linkwright.plans.catalog import ORACLES, QUERIES
 from linkwright.plans.pipeline import all_records, run
@@ -66,6 +68,40 @@ def test_identity_persists_across_runs(spark, tmp_path):
     assert {r.kind for r in store.read("identity").collect()} == {"email", "phone"}
 
 
+def test_stored_values_survive_later_runs(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    whole = ("Ann Lee", "ann@x.y", "9876543210", "Co", "Engineer", None, "Paris, France")
+    run(records(spark, [whole]), store)
+    run(records(spark, [(None, "ann@x.y", None, None, None, None, None)]), store)
+    # two rows of one stored entity that share nothing with each other
+    run(records(spark, [(None, "ann@x.y", None, "Two Co", None, None, None), ("Ann L", None, "9876543210", None, None, "https://github.com/ann", None)]), store)
+    run(records(spark, [whole]), store)  # the same row again changes nothing
+    (ann,) = store.read("entities").collect()
+    assert (ann.full_name.value, ann.location.value, ann.github) == ("Ann Lee", "Paris, France", "https://github.com/ann")
+    assert [x.value for x in ann.emails] == ["ann@x.y"] and [x.value for x in ann.phones] == ["+919876543210"]
+    assert [x.company for x in ann.experience] == ["Co", "Two Co"] and store.read("records").count() == 4
+
+
+def test_stream_keeps_what_is_stored(spark, tmp_path):
+    from linkwright.streaming.incremental import link_stream
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    ddl = "ext_seq long, name string, email string, phone string, current_company string, title string, github_url string, location string"
+    for i, row in enumerate([(0, "Bo", "bo@x.y", "9876543211", None, None, None, None), (1, None, "bo@x.y", None, "Co", None, None, None)]):
+        spark.createDataFrame([row], ddl).write.mode("append").json(f"file://{tmp_path}/in")
+        rows = spark.readStream.schema(ddl).json(f"file://{tmp_path}/in")
+        link_stream(rows, store, f"file://{tmp_path}/checkpoint").awaitTermination()
+        assert len(store.read("entities").collect()) == 1, i
+    (bo,) = store.read("entities").collect()
+    assert bo.full_name.value == "Bo" and bo.phones[0].value == "+919876543211" and bo.experience[0].company == "Co"
+
+
+def test_ats_rows_without_an_id(spark):
+    rows = spark.createDataFrame([(0, None, "Cy", None), (1, " ", "Di", None), (2, "7", "Ed", None)], "ext_seq long, ats_record_id string, display_name string, tags array<string>")
+    ids = [r.ext_id for r in ats_records(rows).collect()]
+    assert len(set(ids)) == 3 and all(ids) and ids[2] == "7"
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "r.csv").write_text(HEADER + 'Ann,bad.example,,,,,"Paris, X, France",note\n,,,,,,,\n')
     (tmp_path / "a.json").write_text('{"export_date": "x", "candidates": [{"ats_record_id": "1", "personal": {"displayName": "Bo"}}, {"ats_record_id": "2"}]}')
@@ -85,7 +121,7 @@ def test_projection_and_validation(spark):
     assert not v.valid and len(v.errors) == 2
 
 
-@pytest.mark.parametrize("name", ["csv_extract", "text_section_carry", "default_projection", "norm_location"])
+@pytest.mark.parametrize("name", ["csv_extract", "text_section_carry", "default_projection", "norm_location", "incremental_merge"])
 def test_catalogue_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"):
@@ -104,9 +140,9 @@ def test_all_four_sources_are_linked(spark):
     resumes = spark.createDataFrame([(0, "/in/Ann Resume.pdf", text), (1, "/in/scan.pdf", "")], "ext_seq long, path string, text string")
     profile = ("Ann Lee", None, "Oz", "https://github.com/ann", None, "Hub Co")
     profiles = spark.createDataFrame([(200, "Ann", profile, [("Python",), ("Python",), ("Go",)])] * 2 + [(200, "nobody", profile, [])], PROFILE_SCHEMA)
-    rec = all_records(csv, ats, resumes, profiles).localCheckpoint()
-    clusters = greedy_clusters(rec).localCheckpoint()
-    table = entities(rec, clusters, cluster_ids(rec, clusters)).localCheckpoint()
+    rec = saved(all_records(csv, ats, resumes, profiles))
+    clusters = saved(greedy_clusters(rec))
+    table = saved(entities(rec, clusters, cluster_ids(rec, clusters)))
     found = table.collect()
     assert len(found) == 2 and sum(bool(r.emails) for r in found) == 1
     ann = next(r for r in found if r.emails)
