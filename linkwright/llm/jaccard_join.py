@@ -22,10 +22,11 @@ at least as many bits as the set has shingles, so that sets with half of their
 shingles in common seldom pass.  Keys carry it folded to BRIEF words; the whole
 one is met by each pair once.
 
-Sets are compared in rounds.  In each, every key's members meet one hub, and
-what links joins components; keys that hold one component are done.  After the
-rounds, members of different components meet, so groups of copies never make
-all their pairs.  Sets that share many crowded keys meet under the least of
+Sets are compared in rounds.  In the first, every key's members meet one hub; in
+later ones those of crowded keys meet HUBS of other components.  What links
+joins components; keys that hold one component are done.  After the rounds,
+members of different components meet, so groups of near copies never make all
+their pairs: each round leaves fewer of them outside their group's component.  Sets that share many crowded keys meet under the least of
 these: a key skips a pair that is seen to share a lesser one.  Equal sets are
 merged before anything else.
 
@@ -51,7 +52,8 @@ from linkwright.operators.components import connected_components
 
 #: Rows with a shingle from which it is frequent; the most frequent ones, of whom at most so many are broadcast.
 OFTEN, FREQUENT = 16, 2_000_000
-HUB_ROUNDS = 1
+#: Rounds in which members meet hubs, at most; they end when no crowded key is open.  Hubs of a crowded key in the later ones.
+HUB_ROUNDS, HUBS = 3, 12
 #: Words of the sketch that every key of a set carries, at most.
 BRIEF = 8
 #: Members from which a key is crowded; a set's least crowded keys, so many at most, go with each of its members.
@@ -241,16 +243,18 @@ def links(docs: DataFrame, sets_table: DataFrame, measure: Measure) -> tuple[Dat
     low = held.filter("crowded").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("at")), 1, LOW).alias("low"))
     nodes = chosen.select("node", "n", "sketch", "brief").dropDuplicates(["node"])
     members = held.join(nodes.drop("sketch").join(low, "node", "left"), "node")
-    members = saved(members.withColumn("low", F.when(F.col("crowded"), F.col("low"))).drop("crowded"), "members")
+    members = saved(members.withColumn("low", F.when(F.col("crowded"), F.col("low"))).withColumn("part", F.col("node")).drop("crowded"), "members")
     known, found, components, sets, seen = None, None, None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        last = turn == HUB_ROUNDS
+        last = turn == HUB_ROUNDS or turn > 0 and not members.filter("low IS NOT NULL").take(1)
         if last:
             pairs = members.alias("x").join(members.alias("y"), "at").filter((F.col("x.part") != F.col("y.part")) & (F.col("x.node") < F.col("y.node")))
             pairs = pairs.filter(may_be_similar(measure, "brief") & not_met_before())
         else:
-            hub = members.groupBy("at").agg(F.min_by(F.struct("node", "n", "brief"), F.xxhash64("node", F.lit(turn))).alias("hub")).select("at", "hub.*")
-            pairs = members.alias("x").join(hub.alias("y"), "at").filter(may_be_similar(measure, "brief"))
+            met = members if turn == 0 else members.filter("low IS NOT NULL")
+            each = F.array(*[F.min_by(F.struct("node", "n", "brief", "part"), F.xxhash64("node", F.lit(turn * HUBS + i))) for i in range(HUBS if turn else 1)])
+            hub = met.groupBy("at").agg(each.alias("hubs")).select("at", F.explode(F.array_distinct("hubs")).alias("hub")).select("at", "hub.*")
+            pairs = met.alias("x").join(hub.alias("y"), "at").filter((F.col("x.part") != F.col("y.part")) & may_be_similar(measure, "brief"))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
