@@ -121,7 +121,7 @@ def test_projection_and_validation(spark):
     assert not v.valid and len(v.errors) == 2
 
 
-@pytest.mark.parametrize("name", ["csv_extract", "text_section_carry", "default_projection", "norm_location", "incremental_merge"])
+@pytest.mark.parametrize("name", ["csv_extract", "text_section_carry", "default_projection", "norm_location", "incremental_merge", "gold_accuracy", "fts_bm25"])
 def test_catalogue_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"):
