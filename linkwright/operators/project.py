@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkwright.functions import columns as C
 
 NORMALIZERS: dict[str, Callable[[Column], Column]] = {"E164": lambda c: C.phone(c), "canonical": C.skill, "email": C.email, "name": C.name, "date": C.year_month}
+NORMALIZERS |= {"phone": NORMALIZERS["E164"], "skill": C.skill, "country": lambda c: C.country(c, C.iso_countries(SparkSession.active()))}
+
+
+def column_name(path: str) -> str:
+    return path.replace(".", "_").replace("[]", "").replace("[", "_").replace("]", "")
 
 
 def compiled(path: str, schema: T.StructType) -> tuple[Column, T.DataType | None]:
@@ -41,27 +47,42 @@ def compiled(path: str, schema: T.StructType) -> tuple[Column, T.DataType | None
 
 
 def project(entities: DataFrame, config: dict) -> DataFrame:
-    """One column a configured field; on_missing is null, omit (the row becomes a JSON text without the missing keys) or error."""
+    """One column a configured field; on_missing says what a missing required one is: null, omit or error.
+
+    With omit a row becomes a JSON text that lacks the keys of missing required
+    fields; other fields are null there.  An unknown normaliser leaves values as they are, with a warning.
+    """
     policy = config.get("on_missing", "null")
     out: list[Column] = []
+    required: set[str] = set()
     for field in config["fields"]:
         path = field.get("from") or field["path"]
         col, kind = compiled(path, entities.schema)
         listed = isinstance(kind, T.ArrayType)
-        if (rule := NORMALIZERS.get(field.get("normalize", ""))) and kind is not None:
+        wanted = field.get("normalize")
+        rule = NORMALIZERS.get(wanted) or NORMALIZERS.get(str(wanted).lower())
+        if wanted and not rule:
+            warnings.warn(f"unknown normaliser {wanted}", stacklevel=2)
+        if rule and kind is not None:
             col = F.transform(col, rule) if listed else rule(col)
         if listed:
             col = F.when(F.size(col) > 0, col)  # an empty list counts as missing
         if field.get("required") and policy == "error":
             col = F.when(col.isNull(), F.raise_error(F.lit(f"missing required field {field['path']}"))).otherwise(col)
-        name = field["path"].replace(".", "_").replace("[]", "").replace("[", "_").replace("]", "")
+        name = column_name(field["path"])
         out.append(col.alias(name))
+        if field.get("required"):
+            required.add(name)
         for flag, suffix in (("include_confidence", "confidence"), ("include_provenance", "sources")):
             if config.get(flag):
                 beside = compiled(path.replace(".value", f".{suffix}"), entities.schema)[0]
                 out.append(beside.alias(f"{name}_{suffix}"))
     rows = entities.select(*out)
-    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("json")) if policy == "omit" else rows
+    if policy != "omit":
+        return rows
+    key = lambda c: F.to_json(F.struct(F.col(f"`{c}`")), {"ignoreNullFields": str(c in required).lower()})
+    inside = F.filter(F.array(*[F.substr(key(c), F.lit(2), F.length(key(c)) - 2) for c in rows.columns]), lambda k: k != "")
+    return rows.select(F.concat(F.lit("{"), F.array_join(inside, ","), F.lit("}")).alias("json"))
 
 
 def default_projection(entities: DataFrame) -> DataFrame:

@@ -22,14 +22,14 @@ def values(records: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def supported(vals: DataFrame) -> DataFrame:
-    """One row for each (cluster, field, spelling group): last spelling, noisy-or of the best confidence of each source, priority, first arrival."""
+    """One row for each (cluster, field, spelling group): last spelling, noisy-or of the best confidence of each source, priority, first arrival, and each source with its confidence and place."""
     key = F.lower(F.trim("value"))
     by_source = vals.withColumn("k", key).groupBy("cluster", "field", "k", "source").agg(
         F.max("confidence").alias("c"), F.min("ord").alias("first"), F.max("ord").alias("last"), F.max_by("value", "ord").alias("value"))
     priority = F.coalesce(C.literal_map(SOURCE_PRIORITY)[F.col("source")], F.lit(0.0))
     grouped = by_source.groupBy("cluster", "field", "k").agg(
         F.max_by("value", "last").alias("value"), F.min("first").alias("first"), F.max(priority).alias("priority"),
-        F.array_sort(F.collect_list(F.struct("source", "c"))).alias("support"))
+        F.array_sort(F.collect_list(F.struct("source", "c", F.col("first").alias("at")))).alias("support"))
     confidences = F.transform("support", lambda s: s["c"])
     alone = F.get(confidences, F.lit(0))
     return grouped.withColumn("confidence", C.clamp(F.when(F.size("support") == 1, alone).otherwise(C.noisy_or(confidences))))
@@ -37,7 +37,7 @@ def supported(vals: DataFrame) -> DataFrame:
 
 def list_fields(groups: DataFrame) -> DataFrame:
     """cluster, field, value, confidence and first of list fields: every group stays, none conflicts."""
-    return groups.filter(F.col("field").isin(*LIST_FIELDS)).select("cluster", "field", "value", "confidence", "first", F.transform("support", lambda s: s["source"]).alias("sources"))
+    return groups.filter(F.col("field").isin(*LIST_FIELDS)).select("cluster", "field", "value", "confidence", "first", F.transform("support", lambda s: s["source"]).alias("sources"), "support")
 
 
 def scalar_fields(groups: DataFrame) -> DataFrame:
@@ -82,8 +82,8 @@ def entities(records: DataFrame, clusters: DataFrame, ids: DataFrame) -> DataFra
     groups = supported(vals)
     scalars = scalar_fields(groups)
     won = scalars.filter("won").groupBy("cluster").agg(*[
-        F.max(F.when(F.col("field") == f, F.struct("value", "confidence", F.transform("support", lambda s: s["source"]).alias("sources")))).alias(f) for f in ("full_name", "location")])
-    item = F.struct("first", "value", "confidence", "sources")
+        F.max(F.when(F.col("field") == f, F.struct("value", "confidence", F.transform("support", lambda s: s["source"]).alias("sources"), "support"))).alias(f) for f in ("full_name", "location")])
+    item = F.struct("first", "value", "confidence", "sources", "support")
     lists = list_fields(groups).groupBy("cluster").agg(*[F.array_sort(F.collect_list(F.when(F.col("field") == f, item))).alias(f) for f in LIST_FIELDS])
     out = ids
     for part in (won, lists, links(records, clusters), experience(records, clusters), education(records, clusters)):

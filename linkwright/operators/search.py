@@ -10,6 +10,18 @@ def with_skill(entities: DataFrame, skill: str) -> DataFrame:
     return entities.filter(F.exists("skills", lambda s: F.lower(s["value"]) == skill.lower()))
 
 
+def searchable(entities: DataFrame) -> DataFrame:
+    """id and text of every entity: name, skills, then company and title of each job."""
+    jobs = F.flatten(F.transform(F.coalesce("experience", F.array().cast("array<struct<company:string,title:string>>")), lambda x: F.array(x["company"], x["title"])))
+    words = F.concat(F.array("full_name.value"), F.transform("skills", lambda s: s["value"]), jobs)
+    return entities.select(F.col("candidate_id").alias("id"), F.array_join(F.filter(words, lambda w: w != ""), " ").alias("text"))
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """Best score first, ties to the smaller id."""
+    return found.orderBy(F.desc("score"), "id")
+
+
 def terms_of(text: str) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda t: t != "")
 

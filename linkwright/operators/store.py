@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkwright.operators.linkage import upsert
 
 
+def to_text(rows: DataFrame) -> DataFrame:
+    """One JSON text a row, nulls left out; `from_text` with the same schema gives the rows again."""
+    return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def from_text(texts: DataFrame, schema: T.StructType) -> DataFrame:
+    return texts.select(F.from_json("json", schema).alias("row")).select("row.*")
+
+
 class Store:
     """entities, identity index and bridge alerts under one folder, on any file system Spark can write."""
 

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkwright.operators.project import column_name
+
 # The rules of the default output.
 DEFAULT_SCHEMA = {
     "type": "object", "required": ["candidate_id"],
     "properties": {
         "candidate_id": {"type": "string"}, "phones": {"type": "array", "items": {"type": "string", "pattern": r"^\+?[1-9]\d{1,14}$"}},
+        "location": {"type": ["object", "string", "null"], "properties": {"country": {"type": ["string", "null"], "pattern": "^[A-Z]{2}$"}}},
         "overall_confidence": {"type": "number", "minimum": 0, "maximum": 1},
         "skills": {"type": "array", "items": {"type": "object", "required": ["name", "confidence", "sources"], "properties": {"confidence": {"type": "number", "minimum": 0, "maximum": 1}}}},
     },
@@ -49,6 +52,14 @@ def validated(rows: DataFrame, schema: dict = DEFAULT_SCHEMA) -> DataFrame:
     return rows.withColumn("errors", problems(whole, rows.schema, schema, "$")).withColumn("valid", F.size("errors") == 0)
 
 
+def schema_of(config: dict, compat: bool = False) -> dict:
+    """The schema of a configured projection's rows; with `compat` types say nothing and only `required` binds."""
+    kinds = {"string": {"type": ["string", "null"]}, "string[]": {"type": ["array", "null"], "items": {"type": "string"}}}
+    fields = config.get("fields", [])
+    properties = {} if compat else {column_name(f["path"]): kinds.get(f.get("type", ""), {}) for f in fields}
+    return {"type": "object", "required": [column_name(f["path"]) for f in fields if f.get("required")], "properties": properties}
+
+
 def run_verdict(rows: DataFrame) -> DataFrame:
     """One row: whether every row of a validated run is valid, and how many aren't."""
     return rows.agg(F.coalesce(F.bool_and("valid"), F.lit(True)).alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))

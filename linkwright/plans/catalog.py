@@ -11,8 +11,9 @@ from linkwright.functions import columns as C
 from linkwright.functions.constants import RESUME_EMAIL, RESUME_PHONE, SKILLS, STOPLIST
 from linkwright.operators import extract, linkage, project, report, resolve, search, suggest, validate
 from linkwright.operators.checkpoint import saved
+from linkwright.operators.store import from_text, to_text
 from linkwright.plans.pipeline import records_of
-from linkwright.sources.derived import ATS, CSV, RESUME, REST, derived
+from linkwright.sources.derived import ATS, CSV, RESUME, REST, _sql, derived
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -317,7 +318,80 @@ def validate_global(spark, sf_dir):
     return validate.run_verdict(validate.validated(project.default_projection(entity_table(spark, sf_dir))))
 
 
-@query()
+BROKEN = """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE concat('id-', CAST(c_custkey AS STRING)) END AS candidate_id,
+ concat(CASE WHEN c_custkey % 5 = 0 THEN '0' ELSE '+91' END, CAST(c_custkey AS STRING)) AS phone, CASE c_custkey % 3 WHEN 0 THEN 'IN' WHEN 1 THEN 'India' END AS country, CAST(c_custkey % 13 AS DOUBLE) / 10 AS overall_confidence FROM customer"""
+BROKEN_ERRORS = f"""SELECT id, concat_ws('|', CASE WHEN candidate_id IS NULL THEN '$: candidate_id is required' END, CASE WHEN phone LIKE '0%' THEN '$.phones[]: does not match the pattern' END,
+ CASE WHEN length(country) <> 2 THEN '$.location.country: does not match the pattern' END, CASE WHEN overall_confidence > 1 THEN '$.overall_confidence: above the maximum' END) AS errors FROM ({BROKEN})"""
+
+
+def broken(spark, sf_dir):
+    rows = _sql(spark, sf_dir, BROKEN, ("customer",))
+    return validate.validated(rows.select("id", "candidate_id", F.array("phone").alias("phones"), F.struct("country").alias("location"), "overall_confidence"))
+
+
+@query(BROKEN_ERRORS)
+def validate_errors(spark, sf_dir):
+    return broken(spark, sf_dir).select("id", joined("errors").alias("errors"))
+
+
+@query(f"SELECT bool_and(errors = '') AS valid, count_if(errors <> '')::BIGINT AS invalid FROM ({BROKEN_ERRORS})")
+def validate_run(spark, sf_dir):
+    return validate.run_verdict(broken(spark, sf_dir))
+
+
+OMIT = {"fields": [{"path": "id", "from": "candidate_id", "required": True}, {"path": "name", "from": "full_name.value"}, {"path": "email", "from": "emails[0].value", "required": True}, {"path": "phone", "from": "phones[0].value"}], "on_missing": "omit"}
+
+
+@query(CLUSTERS + """SELECT '{"id":"' || candidate_id || '","name":' || coalesce('"' || full_name || '"', 'null') || coalesce(',"email":"' || emails[1] || '"', '') || ',"phone":' || coalesce('"' || phones[1] || '"', 'null') || '}' AS json FROM flagged""")
+def config_projection_omit(spark, sf_dir):
+    return project.project(entity_table(spark, sf_dir), OMIT)
+
+
+@query(CLUSTERS + "SELECT candidate_id, full_name, array_to_string(skills, '|') AS skills, overall_confidence FROM flagged")
+def entity_roundtrip(spark, sf_dir):
+    """Entities to JSON texts and back."""
+    table = entity_table(spark, sf_dir)
+    back = from_text(to_text(table), table.schema)
+    return back.select("candidate_id", F.col("full_name.value").alias("full_name"), F.nullif(joined(F.transform("skills", lambda s: s["value"])), F.lit("")).alias("skills"), "overall_confidence")
+
+
+@query(CLUSTERS + "SELECT candidate_id FROM flagged WHERE needs_human_review")
+def flagged_only(spark, sf_dir):
+    return report.flagged(entity_table(spark, sf_dir)).select("candidate_id")
+
+
+@query(CLUSTERS + "SELECT candidate_id, (SELECT array_to_string(list(value ORDER BY confidence DESC, first)[:2], '|') FROM lists x WHERE x.cluster = f.cluster AND field = 'skills') AS skills FROM flagged f")
+def top_two_skills(spark, sf_dir):
+    found = report.top_skills(entity_table(spark, sf_dir), 2)
+    return found.select("candidate_id", F.nullif(joined("skills"), F.lit("")).alias("skills"))
+
+
+def two_digits_sql(c: str) -> str:
+    return f"printf('%.2f', {c})"
+
+
+def told_sql(title: str, value: str, confidence: str, field: str, quote: str = '"') -> str:
+    detail = f"coalesce((SELECT lost FROM lost x WHERE x.cluster = f.cluster AND x.field = '{field}'), (SELECT said FROM said x WHERE x.cluster = f.cluster AND x.field = '{field}' AND x.k = lower(trim({value}))))"
+    return f"CASE WHEN coalesce({value}, '') <> '' THEN '{title}: {quote}' || {value} || '{quote}' || chr(10) || '  - confidence ' || {two_digits_sql(confidence)} || ' - ' || {detail} || chr(10) END"
+
+
+EXPLAINED = CLUSTERS + f""", supp AS (SELECT cluster, field, k, count(*) AS n, list(source || ' (' || {two_digits_sql('c')} || ')' ORDER BY first) AS l FROM bysrc GROUP BY cluster, field, k),
+said AS (SELECT cluster, field, k, CASE WHEN n = 1 THEN 'from ' || l[1] || ' only' WHEN n = 2 THEN 'agreed by ' || l[1] || ' and ' || l[2] ELSE 'agreed by ' || array_to_string(l[:-2], ', ') || ', and ' || l[-1] END AS said FROM supp),
+lost AS (SELECT cluster, field, '(penalized: ' || string_agg('conflicting value "' || value || '" also seen from ' || source, '; ' ORDER BY value, source) || ')' AS lost
+ FROM (SELECT DISTINCT v.cluster, v.field, s.value, v.source FROM vals v JOIN scal s ON v.cluster = s.cluster AND v.field = s.field AND lower(trim(v.value)) = s.k WHERE NOT s.won) GROUP BY cluster, field),
+mail AS (SELECT cluster, min_by(confidence, first) AS mail_conf FROM lists WHERE field = 'emails' GROUP BY cluster),
+place AS (SELECT cluster, confidence AS place_conf FROM scal WHERE field = 'location' AND won),
+able AS (SELECT cluster, count(*) AS n_skills, string_agg(value || ' (' || {two_digits_sql('confidence')} || ')', ', ' ORDER BY first) AS able, len(list_distinct(flatten(list(sources)))) AS n_sources FROM lists WHERE field = 'skills' GROUP BY cluster)
+SELECT candidate_id, concat_ws(chr(10), 'Candidate: ' || coalesce(full_name, 'Unknown') || ' (confidence: ' || {two_digits_sql('overall_confidence')} || ')', repeat('-', 47),
+ {told_sql('full_name', 'full_name', 'name_conf', 'full_name')}, {told_sql('primary email', 'emails[1]', 'mail_conf', 'emails')}, {told_sql('location', 'location', 'place_conf', 'location', '')},
+ 'skills (' || n_skills || '): ' || able || chr(10) || '  - derived from ' || n_sources || ' sources' || chr(10),
+ '! overall_confidence ' || {two_digits_sql('overall_confidence')} || CASE WHEN NOT needs_human_review THEN ' - no flags' ELSE ' - FLAGGED FOR REVIEW (' || concat_ws('; ', CASE WHEN coalesce(full_name, '') = '' THEN 'missing: full_name' END,
+  CASE WHEN emails IS NULL THEN 'missing: emails' END, CASE WHEN phones IS NULL THEN 'missing: phone' END, CASE WHEN cluster IN (SELECT cluster FROM lost WHERE field = 'location') THEN 'low-agreement: location' END,
+  CASE WHEN cluster IN (SELECT cluster FROM lost WHERE field = 'full_name') THEN 'low-agreement: full_name' END) || ')' END) AS explanation
+FROM flagged f LEFT JOIN mail USING (cluster) LEFT JOIN place USING (cluster) LEFT JOIN able USING (cluster)"""
+
+
+@query(EXPLAINED)
 def explain_text(spark, sf_dir):
     vals, groups = grouped(spark, sf_dir)
     return report.explanations(entity_table(spark, sf_dir), resolve.conflicts(vals, resolve.scalar_fields(groups)))
@@ -345,6 +419,24 @@ def dup_suggestions(spark, sf_dir):
 
 
 # ---- search ----
+ENTITY_TEXT = CLUSTERS + """, jobs AS (SELECT cluster, string_agg(concat_ws(' ', company, title), ' ' ORDER BY first) AS jobs FROM (SELECT cluster, company, title, min(ext_seq) AS first FROM rec JOIN clu USING (ext_seq) WHERE company IS NOT NULL OR title IS NOT NULL GROUP BY ALL) GROUP BY cluster),
+texts AS (SELECT candidate_id AS id, concat_ws(' ', full_name, nullif(array_to_string(skills, ' '), ''), jobs) AS text FROM flagged LEFT JOIN jobs USING (cluster))
+"""
+
+
+@query(ENTITY_TEXT + "SELECT id, text FROM texts")
+def entity_text(spark, sf_dir):
+    return search.searchable(entity_table(spark, sf_dir))
+
+
+@query(ENTITY_TEXT + """, t AS (SELECT id, unnest(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS term FROM texts), i AS (SELECT id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL), s AS (SELECT id, sum(tf) AS size FROM i GROUP BY id),
+st AS (SELECT count(*) AS n, avg(size) AS mean FROM s), h AS (SELECT * FROM i WHERE term = 'kubernetes'), d AS (SELECT count(*) AS df FROM h)
+SELECT id, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM h JOIN s USING (id), st, d""")
+def entity_search(spark, sf_dir):
+    found = search.bm25_of_texts(search.searchable(entity_table(spark, sf_dir)), ["Kubernetes"])
+    return search.ranked(found.select("id", F.round("score", 6).alias("score")))
+
+
 @query(CLUSTERS + "SELECT candidate_id FROM flagged WHERE list_contains(skills, 'JavaScript')")
 def skill_search(spark, sf_dir):
     return search.with_skill(entity_table(spark, sf_dir), "javascript").select("candidate_id")
