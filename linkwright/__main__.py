@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from linkwright.operators.checkpoint import saved
 from linkwright.operators.project import project
 from linkwright.operators.store import Store
+from linkwright.operators.suggest import ordered
 from linkwright.plans.pipeline import all_records, run
 from linkwright.sources.files import read_ats_json, read_profiles, read_recruiter_csv, read_resumes
 
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
             if args.config:
                 config = json.loads("\n".join(r.value for r in spark.read.text(args.config, wholetext=True).collect()))
             (project(entities, config) if config else output).write.json(f"{args.out}/candidates", mode="overwrite")
-            result.suggestions.orderBy(F.desc("score")).write.json(f"{args.out}/possible_duplicates", mode="overwrite")
+            ordered(result.suggestions).write.json(f"{args.out}/possible_duplicates", mode="overwrite")
             spark.createDataFrame([stats]).coalesce(1).write.json(f"{args.out}/run_metadata", mode="overwrite")
         print(f"processed {stats['processed']}, entities {stats['merged']}, invalid {invalid}")
         return 1 if invalid else 0

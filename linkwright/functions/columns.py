@@ -93,6 +93,11 @@ def uuid5_oid(key: Column) -> Column:
     return F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("5"), cut(14, 3)), F.concat(variant, cut(18, 3)), cut(21, 12))
 
 
+def two_digits(c: Column) -> Column:
+    """Text with two decimals, rounded as the double is, not as its shortest spelling: 0.725 is below the middle."""
+    return F.format_number(c, 2)
+
+
 def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 

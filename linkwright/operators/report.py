@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.functions.columns import two_digits
+
 ALL_SOURCES = ("recruiter.csv", "github_api", "ats.json")
 
 
@@ -43,11 +45,6 @@ def top_skills(entities: DataFrame, keep: int = 8) -> DataFrame:
     return entities.select("candidate_id", F.transform(F.slice(order, 1, keep), lambda s: s["value"]).alias("skills"))
 
 
-def two_digits(c: Column) -> Column:
-    """Rounded as the double is, not as its shortest spelling: 0.725 is below the middle."""
-    return F.format_number(c, 2)
-
-
 def agreement(support: Column) -> Column:
     """Who says so: each source once, in order of arrival, with its own best confidence."""
     each = F.transform(F.array_sort(F.transform(support, lambda s: F.struct(s["at"], s["source"], s["c"]))), lambda s: F.concat(s["source"], F.lit(" ("), two_digits(s["c"]), F.lit(")")))

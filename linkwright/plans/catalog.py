@@ -410,12 +410,44 @@ def doc_frequency(spark, sf_dir):
 pairs AS (SELECT DISTINCT x.cluster AS a, y.cluster AS b FROM held x JOIN held y ON x.kind = 'company' AND y.kind = 'company' AND x.value = y.value AND x.cluster < y.cluster WHERE x.n BETWEEN 2 AND 6)
 SELECT a, b, x.kind, max(x.inf) AS informativeness FROM pairs JOIN held x ON x.cluster = a JOIN held y ON y.cluster = b AND x.kind = y.kind AND x.value = y.value GROUP BY a, b, x.kind""")
 def shared_attribute_pairs(spark, sf_dir):
-    return suggest.shared_attributes(suggest.attributes(entity_table(spark, sf_dir)))
+    return suggest.shared_attributes(suggest.attributes(entity_table(spark, sf_dir))).select("a", "b", "kind", "informativeness")
 
 
-@query()
+SORTED_NAME = "array_to_string(list_sort(string_split(trim(lower(regexp_replace(full_name, '[^\\p{L}\\p{N}]+', ' ', 'g'))), ' ')), ' ')"
+
+
+def suggested_sql(pairs: str, threshold: float) -> str:
+    """Scores of pairs (a, b): a row of the table of longest common subsequences a step, one step a letter of x."""
+    low = "CASE WHEN {0} < 0.34 THEN 'common — low signal, ' ELSE '' END || 'contributed ' || printf('%.2f', coalesce({0}, 0) * {1}::DOUBLE) || ')'"
+    note = lambda k, shown, weight: f"CASE WHEN {k} IS NOT NULL THEN 'shared {k}: ' || {shown} || ' (' || {low.format(k, weight)} END"
+    return CLUSTERS + f""", {ATTRS}, df AS (SELECT kind, value, CASE WHEN value IN {STOPLIST} THEN 0.0::DOUBLE ELSE greatest(0.05::DOUBLE, 1.0::DOUBLE / count(*)) END AS inf FROM attrs GROUP BY kind, value),
+held AS (SELECT * FROM attrs JOIN df USING (kind, value) WHERE inf > 0),
+best AS (SELECT x.cluster AS a, y.cluster AS b, x.kind, max(x.inf) AS inf, min_by(x.value, (-x.inf, x.value)) AS value FROM held x JOIN held y ON x.kind = y.kind AND x.value = y.value AND x.cluster < y.cluster WHERE {pairs} GROUP BY x.cluster, y.cluster, x.kind),
+wide AS (SELECT a, b, max(inf) FILTER (kind = 'company') AS company, max(inf) FILTER (kind = 'country') AS country, max(inf) FILTER (kind = 'skill') AS skill,
+ max(value) FILTER (kind = 'company') AS company_value, max(value) FILTER (kind = 'skill') AS skill_value FROM best GROUP BY a, b),
+names AS (SELECT cluster, {SORTED_NAME} AS name, trim(split_part(location, ',', -1)) AS place FROM ent),
+texts AS (SELECT DISTINCT x.name AS x, y.name AS y FROM wide JOIN names x ON x.cluster = a JOIN names y ON y.cluster = b WHERE x.name <> '' AND y.name <> ''),
+steps AS (SELECT x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0::BIGINT) AS line FROM texts
+ UNION ALL SELECT x, y, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(y) + 1), lambda j: [j])), lambda done, j: list_append(done, CASE WHEN x[i + 1] = y[j[1]] THEN line[j[1]] + 1 ELSE greatest(line[j[1] + 1], done[-1]) END)) FROM steps WHERE i < length(x)),
+alike AS (SELECT x, y, 100.0::DOUBLE * 2 * line[-1] / (length(x) + length(y)) / 100 AS sim FROM steps WHERE i = length(x)),
+told AS (SELECT a, b, company, country, skill, company_value, skill_value, xn.place, coalesce(sim, 0) AS sim FROM wide JOIN names xn ON xn.cluster = a JOIN names yn ON yn.cluster = b LEFT JOIN alike ON x = xn.name AND y = yn.name),
+sums AS (SELECT *, sim * 0.4::DOUBLE + coalesce(company, 0) * 0.3::DOUBLE + coalesce(country, 0) * 0.15::DOUBLE + coalesce(skill, 0) * 0.15::DOUBLE AS raw FROM told)
+SELECT a, b, printf('%.2f', raw)::DOUBLE AS score, concat_ws('|', CASE WHEN sim > 0 THEN 'name similarity (' || printf('%.2f', sim) || ')' END,
+ {note('company', 'company_value', 0.3)}, {note('country', 'place', 0.15)}, {note('skill', title_sql('skill_value'), 0.15)}) AS signals FROM sums WHERE raw > {threshold}"""
+
+
+@query(suggested_sql("EXISTS (SELECT 1 FROM held p JOIN held q USING (kind, value) WHERE kind = 'company' AND p.inf >= 1.0 / 6 AND p.cluster = x.cluster AND q.cluster = y.cluster)", 0.6))
 def dup_suggestions(spark, sf_dir):
-    return suggest.suggestions(entity_table(spark, sf_dir)).select("a", "b", "score", joined("signals").alias("signals"))
+    found = suggest.ordered(suggest.suggestions(entity_table(spark, sf_dir)))
+    return found.select("a", "b", "score", joined("signals").alias("signals"))
+
+
+@query(suggested_sql("x.cluster % 100 = 0 OR y.cluster % 100 = 0", 0.4))
+def explain_duplicates(spark, sf_dir):
+    """Probable duplicates of the stated entities (cluster divisible by 100) among all."""
+    table = entity_table(spark, sf_dir)
+    found = suggest.suggestions_for(table, table.filter("cluster % 100 = 0"))
+    return found.select("a", "b", "score", joined("signals").alias("signals"))
 
 
 # ---- search ----

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from linkwright.functions import columns as C
 from linkwright.functions.similarity import lcs, token_set_ratio, token_sort_ratio
-from linkwright.operators import report
+from linkwright.operators import report, search, suggest
 from linkwright.operators.components import connected_components
 from linkwright.operators.linkage import cluster_ids, component_clusters, greedy_clusters
 from linkwright.operators.project import project
-from linkwright.operators.resolve import entities
+from linkwright.operators.resolve import conflicts, entities, scalar_fields, supported, values
 from linkwright.operators.store import Store
 from linkwright.operators.checkpoint import saved
 from linkwright.operators.extract import ats_records
-from linkwright.operators.validate import validated
+from linkwright.operators.validate import schema_of, validated
 from linkwright.plans.catalog import ORACLES, QUERIES
 from linkwright.plans.pipeline import all_records, run
 from linkwright.sources.files import PROFILE_SCHEMA, read_ats_json, read_recruiter_csv
@@ -152,3 +152,68 @@ def test_all_four_sources_are_linked(spark):
     assert skills == {"Python": round(1 - 0.05 * 0.5, 6), "Go": round(1 - 0.6 * 0.5, 6), "AWS": 0.4} and ann.education == ["University of Oz"]
     assert [x.company for x in ann.experience] == ["Co", "Hub Co"]
     assert report.summary(table).first().three_way == 1
+
+
+def test_suggestions_and_explanations_against_brute_force(spark):
+    people = [("Ann Lee", "a0@x.y", None, "Rare Co", "Dev", None, "Oz, Faraway"), ("Lee, Ann", "a1@x.y", None, "rare co", None, None, "Uz, Faraway"), ("Ann Leigh", "a2@x.y", None, "Big", None, None, "Oz, Near"),
+              ("Bob Roe", "a3@x.y", None, "Big", None, None, "Oz, Near"), (None, "a4@x.y", None, "Big", None, None, None), ("Ann Leih", "a5@x.y", None, "Student", None, None, "Oz, Near"), ("Ann Leih", "a6@x.y", None, "student", None, None, None)]
+    rec = saved(records(spark, [*people, ("Ann Lee B", "a0@x.y", None, None, None, None, None)]))
+    clusters = saved(greedy_clusters(rec))
+    table = saved(entities(rec, clusters, cluster_ids(rec, clusters)))
+    company = {0: "rare co", 1: "rare co", 2: "big", 3: "big", 4: "big"}
+    country = {0: "faraway", 1: "faraway", 2: "near", 3: "near", 5: "near"}
+
+    def told(held, a, b):
+        n = list(held.values()).count(held.get(a))
+        return 1 / n if a in held and held[a] == held.get(b) else 0.0
+
+    names = [p[0] or "" for p in people]
+    want = {}
+    for a in range(7):
+        for b in range(a + 1, 7):
+            score = (token_sort_ratio(names[a], names[b]) / 100 if names[a] and names[b] else 0.0) * 0.4 + told(company, a, b) * 0.3 + told(country, a, b) * 0.15
+            want[a, b] = score
+    got = saved(suggest.suggestions(table)).collect()
+    assert [(r.a, r.b, r.score) for r in got] == [(a, b, round(s, 2)) for (a, b), s in want.items() if s > 0.6] == [(0, 1, 0.62)]
+    assert got[0].signals == ["name similarity (1.00)", "shared company: rare co (contributed 0.15)", "shared country: Faraway (contributed 0.07)"]
+    asked = table.filter("cluster IN (0, 2, 6)")
+    near = saved(suggest.suggestions_for(table, asked))
+    assert {(r.a, r.b, r.score) for r in near.collect()} == {(a, b, round(s, 2)) for (a, b), s in want.items() if s > 0.4 and {a, b} & {0, 2, 6}}
+    assert (2, 5) in {(r.a, r.b) for r in near.collect()} and (5, 6) not in {(r.a, r.b) for r in near.collect()}  # a stoplisted value shares nothing
+    for call in (lambda: suggest.suggestions(table, 0.5), lambda: suggest.suggestions_for(table, asked, 0.3)):
+        with pytest.raises(ValueError):
+            call()
+    vals = values(rec, clusters)
+    texts = {r.candidate_id: r.explanation for r in report.explanations(table, conflicts(vals, scalar_fields(supported(vals))), near).collect()}
+    ids = {r.cluster: r.candidate_id for r in table.select("cluster", "candidate_id").collect()}
+    first = texts[ids[0]].split("\n")
+    assert first[:3] == ["Candidate: Ann Lee (confidence: 0.47)", "-" * 47, 'full_name: "Ann Lee"']
+    assert first[3] == '  - confidence 0.90 - (penalized: conflicting value "Ann Lee B" also seen from recruiter.csv)'
+    assert '! overall_confidence 0.47 - FLAGGED FOR REVIEW (missing: phone; low-agreement: full_name)' in first
+    assert first[-1] == '  ! Possible duplicate of "Lee, Ann" (score 0.62 — flagged for review)' and '"Ann Lee" (score 0.62' in texts[ids[1]]
+    assert texts[ids[4]].startswith("Candidate: Unknown (confidence: 0.25)") and "Possible" not in texts[ids[4]]
+    assert "below review threshold" in texts[ids[2]]
+
+
+def test_explanation_of_skills_from_languages(spark):
+    rows = spark.createDataFrame([(200, "u", ("U", None, None, "https://github.com/u", None, None), [("Go",)])], PROFILE_SCHEMA)
+    rec = saved(all_records(csv=spark.createDataFrame([(0, "U", None, None, None, None, "https://github.com/u", None)], "ext_seq long, name string, email string, phone string, current_company string, title string, github_url string, location string"), profiles=rows))
+    clusters = saved(greedy_clusters(rec))
+    table = saved(entities(rec, clusters, cluster_ids(rec, clusters)))
+    none = spark.createDataFrame([], "cluster long, field string, value string, source string")
+    text = report.explanations(table, none).first().explanation
+    assert "agreed by recruiter.csv (1.00) and github_api (0.70)" in text and report.ONLY_LANGUAGES in text
+    assert [r.id for r in search.ranked(search.bm25_of_texts(search.searchable(table), ["go"])).collect()] == [table.first().candidate_id]
+    assert report.flagged(table).count() == 1 and report.top_skills(table).first().skills == ["Go"]
+
+
+def test_missing_policy_and_schema_of_a_projection(spark):
+    rows = spark.sql("SELECT CAST(NULL AS STRING) AS a, CAST(NULL AS STRING) AS b, 'india' AS c, named_struct('country', 'India') AS location, 'x' AS candidate_id")
+    config = {"on_missing": "omit", "fields": [{"path": "a", "type": "string", "required": True}, {"path": "b", "type": "string"}, {"path": "c", "type": "string[]", "normalize": "country"}]}
+    assert project(rows, config).first().json == '{"b":null,"c":"IN"}'
+    shown = project(rows, config | {"on_missing": "null"})
+    assert validated(shown, schema_of(config)).first().errors == ["$: a is required", "$.c: not of type array/null"]
+    assert validated(shown, schema_of(config, compat=True)).first().errors == ["$: a is required"]
+    assert validated(rows).first().errors == ["$.location.country: does not match the pattern"]
+    with pytest.warns(UserWarning, match="unknown normaliser"):
+        assert project(rows, {"fields": [{"path": "c", "normalize": "nonsense"}]}).first().c == "india"
