@@ -125,11 +125,14 @@ def vocabulary(counts: DataFrame, frequent: int) -> Vocabulary:
     return Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), int(total[0]), int(total[1]))
 
 
-def encoded(docs: DataFrame, held_out: Column, vocab: Vocabulary) -> DataFrame:
-    """row, doc_id, held_out, tokens (numbers of frequent words; their count for the open class) and rare (hashes of the rest)."""
+def encoded(docs: DataFrame, held_out: Column, vocab: Vocabulary, packed: bool = False) -> DataFrame:
+    """row, doc_id, held_out, tokens (numbers of frequent words; their count for the open class) and rare (hashes of the rest).
+
+    packed: tokens are bytes, four a token, little-endian, which Spark hands on as they are.
+    """
     kind = arrow_type(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vocab.words)
-    schema = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("tokens", pa.list_(pa.int32())), ("rare", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("tokens", pa.binary() if packed else pa.list_(pa.int32())), ("rare", pa.list_(pa.int64()))])
 
     def make():
         find = Lookup(shared.value)
@@ -142,13 +145,13 @@ def encoded(docs: DataFrame, held_out: Column, vocab: Vocabulary) -> DataFrame:
                 rare = code < 0
                 code[rare] = opened
                 before = np.concatenate([[0], np.cumsum(rare)])
-                tokens = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(code, pa.int32()))
+                tokens = packed_lists(first, code) if packed else pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(code, pa.int32()))
                 others = pa.ListArray.from_arrays(pa.array(before[first], pa.int32()), pa.array(hashes[rare].view(np.int64)))
                 yield batch(schema, part.column(0), part.column(2), tokens, others)
 
         return each
 
-    out = arrow_map(docs.select("doc_id", "text", held_out.alias("held_out")), f"doc_id {id_type(docs)}, held_out boolean, tokens array<int>, rare array<bigint>", make)
+    out = arrow_map(docs.select("doc_id", "text", held_out.alias("held_out")), f"doc_id {id_type(docs)}, held_out boolean, tokens {'binary' if packed else 'array<int>'}, rare array<bigint>", make)
     return saved(out.select(F.monotonically_increasing_id().alias("row"), "*"), "encoded")
 
 
@@ -217,21 +220,25 @@ def segments(first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def carried(model: Model, seen: np.ndarray, running: np.ndarray, order: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each segment, in `order`: the state's distribution before its first token given all before, and (up to a factor) the likelihood of all after it by its last state."""
+    """For each segment, in `order`: the state's distribution before its first token given all before, and (up to a factor) the likelihood of all after it by its last state.
+
+    seen: the tokens' emissions, a row for each state.
+    """
     k, n = len(model.start), len(order)
     begin, after = np.tile(model.start, (n, 1)), np.ones((n, k))
     if heads.all():
         return begin, after
     # the likelihood of a segment's tokens by its first and last state, up to a factor
-    through = np.zeros((n, k, k))
+    through = np.zeros((k, k, n))
+    back = np.ascontiguousarray(model.step.T)
     at = 0
     for t, m in enumerate(running.tolist()):
-        now = seen[at : at + m, None, :]
-        through[:m] = np.eye(k) * now if t == 0 else (through[:m].reshape(-1, k) @ model.step).reshape(m, k, k) * now
+        now = seen[None, :, at : at + m]
+        through[:, :, :m] = (np.eye(k)[:, :, None] if t == 0 else back @ through[:, :, :m]) * now
         if t % 8 == 7:
-            through[:m] /= through[:m].sum(axis=(1, 2))[:, None, None]
+            through[:, :, :m] /= through[:, :, :m].sum(axis=(0, 1))
         at += m
-    through /= through.sum(axis=(1, 2))[:, None, None]
+    through = np.ascontiguousarray((through / through.sum(axis=(0, 1))).transpose(2, 0, 1))
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     opens = np.flatnonzero(heads)
@@ -271,41 +278,43 @@ class Expected:
         flat, running, order = padded(bounds)
         code = tokens[flat]
         k = len(model.start)
-        seen = model.emit.take(code, axis=0)
-        begin, behind = carried(model, seen, running, order, heads)
+        # a row for each state, so that every operation runs along the segments
+        seen = model.emit.T.take(code, axis=1)
+        forward, backward = np.ascontiguousarray(model.step.T), model.step
+        begin, behind = (np.ascontiguousarray(x.T) for x in carried(model, seen, running, order, heads))
         ahead = np.empty_like(seen)
         starts = np.concatenate([[0], np.cumsum(running)])
         scale = np.empty(len(code))
-        last = np.empty((len(order), k))  # forward value of each segment's last token
+        last = np.empty((k, len(order)))  # forward value of each segment's last token
         for t, n in enumerate(running.tolist()):
             i, j = starts[t], starts[t + 1]
-            a = begin[:n] * seen[i:j] if t == 0 else (ahead[starts[t - 1] : starts[t - 1] + n] @ model.step) * seen[i:j]
-            scale[i:j] = s = a.sum(axis=1)
-            last[:n] = ahead[i:j] = a / s[:, None]
-        behind /= (last * behind).sum(axis=1, keepdims=True)
+            a = begin[:, :n] * seen[:, i:j] if t == 0 else (forward @ ahead[:, starts[t - 1] : starts[t - 1] + n]) * seen[:, i:j]
+            scale[i:j] = s = a.sum(axis=0)
+            last[:, :n] = ahead[:, i:j] = a / s
+        behind /= (last * behind).sum(axis=0)
+        seen /= scale
         back = behind
         for t in range(len(running) - 1, -1, -1):
             i, j = starts[t], starts[t + 1]
             n = j - i
-            back = behind[:n] * (seen[i:j] / scale[i:j, None])  # beta(t) times emission, scaled
-            ahead[i:j] *= behind[:n]  # now the posterior of each state
+            back = behind[:, :n] * seen[:, i:j]  # beta(t) times emission, scaled
+            ahead[:, i:j] *= behind[:, :n]  # now the posterior of each state
             if t:
                 # ahead of the time before still is the forward value
-                self.step += model.step * (ahead[starts[t - 1] : starts[t - 1] + n].T @ back)
-                behind[:n] = back @ model.step.T
+                self.step += model.step * (ahead[:, starts[t - 1] : starts[t - 1] + n] @ back.T)
+                behind[:, :n] = backward @ back
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         later = np.flatnonzero(~heads)
-        self.step += model.step * (last[place[later - 1]].T @ back[place[later]])
-        self.start += ahead[: len(order)][heads[order]].sum(axis=0)
-        used, place = np.unique(code, return_inverse=True)
+        self.step += model.step * (last[:, place[later - 1]] @ back[:, place[later]].T)
+        self.start += ahead[:, : len(order)][:, heads[order]].sum(axis=1)
         for s in range(k):
-            self.emit[used, s] += np.bincount(place, ahead[:, s], len(used))
+            self.emit[:, s] += np.bincount(code, ahead[s], len(self.emit))
         if rare is not None:
             hashes, number = rare
             open_class = np.flatnonzero(code == len(self.emit) - 1)
             words, place = np.unique(hashes[number[flat[open_class]]], return_inverse=True)
-            self.rare.append((words, np.stack([np.bincount(place, minlength=len(words)).astype(float), *(np.bincount(place, ahead[open_class, s], len(words)) for s in range(k))], axis=1)))
+            self.rare.append((words, np.stack([np.bincount(place, minlength=len(words)).astype(float), *(np.bincount(place, ahead[s, open_class], len(words)) for s in range(k))], axis=1)))
 
     def rare_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the rare words so far, each with its count and its expected counts by state; they are forgotten."""
@@ -328,7 +337,18 @@ class Expected:
         return Model((self.start + 1) / (self.start + 1).sum(), (self.step + 1) / (self.step + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def packed_lists(first: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
+    places = pa.py_buffer((4 * first).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, places, pa.py_buffer(values.astype("<i4"))])
+
+
+def lists(column: pa.ListArray | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists or of packed lists, and where each list begins."""
+    if not hasattr(column, "offsets"):
+        _, places, data = column.buffers()
+        wide = pa.types.is_large_binary(column.type)
+        at = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<i4"), (at - at[0]) // 4
     first = column.offsets.to_numpy().astype(np.int64)
     return column.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]], first - first[0]
 
@@ -442,7 +462,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, frequent: int
     held_out = F.coalesce(held_out, F.lit(False))
     counts = saved(word_counts(docs.filter(~held_out)), "counts")
     vocab = vocabulary(counts, frequent)
-    sequences = encoded(docs, held_out, vocab)
+    sequences = encoded(docs, held_out, vocab, packed=True)
     trained = train(sequences, vocab, states, passes)
     total = vocab.tokens + vocab.types + 1
     known = "array<struct<word:bigint,n:bigint,steps:bigint>>"
