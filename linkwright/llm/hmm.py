@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.runtime import arrow_map, arrow_type, batch, id_type, saved
+from linkwright.llm.runtime import arrow_map, arrow_type, batch, free_shuffles, id_type, saved
 from linkwright.llm.words import SPACE, Lookup, chunks, ranges, words
 
 STATES = 6
@@ -439,6 +439,7 @@ def train(sequences: DataFrame, vocab: Vocabulary, states: int = STATES, passes:
     for turn in range(passes):
         sums, rare = baum_welch_pass(training, model, prior, turn == passes - 1)
         model = sums.model(prior)
+        free_shuffles(sequences.sparkSession)
     # every word of the open class gets what its own occurrences say
     share, total = sums.share(), vocab.tokens + vocab.types + 1
     e = sum(F.col(f"s{i}") for i in range(states))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -75,6 +76,12 @@ def fetched(docs: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark frees the shuffle files of frames that are no longer held once Python and the driver's JVM have collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with `rank`, gapless from 0 in the given order, without a single-partition sort.
 
@@ -97,4 +104,4 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return kept.withColumn("rank", table[F.col("_part")] + F.col("_in")).drop("_part", "_in")
 
 
-__all__ = ["BROADCAST_ROWS", "columns_of", "fetched", "arrow_map", "arrow_type", "batch", "id_type", "numbered", "rest_of", "saved", "shared_folder", "shuffle_tasks"]
+__all__ = ["BROADCAST_ROWS", "columns_of", "fetched", "free_shuffles", "arrow_map", "arrow_type", "batch", "id_type", "numbered", "rest_of", "saved", "shared_folder", "shuffle_tasks"]
