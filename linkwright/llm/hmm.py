@@ -41,7 +41,7 @@ STATES = 6
 #: Words with emissions of their own.
 FREQUENT = 1 << 17
 #: Passes over all training documents.
-PASSES = 6
+PASSES = 8
 #: Tokens of the segments that a pass walks at once; results don't depend on it.
 SEGMENT = 512
 #: Tokens of a batch of a pass, and of scoring.
