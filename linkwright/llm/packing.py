@@ -21,7 +21,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.runtime import arrow_map, arrow_type, batch, id_type, saved
-from linkwright.llm.words import SPACE, chunks, ranges, words
+from linkwright.llm.words import SPACE, Places, chunks, ranges, words
 
 WINDOW = 4096
 END_ID = 2
@@ -38,6 +37,8 @@ END_ID = 2
 BUCKET_PIECES = 8192
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 1_000_000
+#: Words that one call of the tokenizer encodes.
+CALL_WORDS = 8192
 #: Stands between words that are encoded together.
 MARK = "\x01"
 
@@ -57,13 +58,13 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place = Places()
         self.ids = np.empty(1 << 20, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def learn(self, keys: list[int], texts: list[str]) -> None:
-        """One call encodes all new words, set apart by a mark that is a token of its own; a word that holds it goes alone."""
+    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """One call encodes these new words, set apart by a mark that is a token of its own; a word that holds it goes alone."""
         plain = [t for t in texts if MARK not in t]
         found = np.array(self.encode([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids if plain else [], np.uint32)
         cut = np.flatnonzero(found == self.mark)
@@ -77,12 +78,12 @@ class WordTokenizer:
             found, parts = np.concatenate(all_ids), np.array([len(x) for x in all_ids])
         n, used = len(self.place), self.used + len(found)
         if used > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(found)), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids) // 2, len(found)), np.uint32)])
         if n + len(keys) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(max(len(self.start), len(keys)), np.int64)])
+            self.start = np.concatenate([self.start, np.zeros(max(len(self.start) // 2, len(keys)), np.int64)])
         self.ids[self.used : used] = found
         self.start[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(parts)
-        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.place.add(keys)
         self.used = used
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +94,15 @@ class WordTokenizer:
         distinct, where, back = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.place) > KEPT_WORDS:
             self.forget()
-        keys = distinct.tolist()
-        place = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        place = self.place.find(distinct)
         new = np.flatnonzero(place < 0)
         if len(new):
-            data, at = w.data.tobytes(), where[new]
+            data = w.data.tobytes()
             place[new] = len(self.place) + np.arange(len(new))
-            self.learn(distinct[new].tolist(), [data[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+            for i in range(0, len(new), CALL_WORDS):
+                some = new[i : i + CALL_WORDS]
+                at = where[some]
+                self.learn(distinct[some], [data[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
         place = place[back]
         start = self.start[place]
         size = self.start[place + 1] - start
@@ -122,7 +125,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
         encode = word_tokenizer(tokenizer)
 
         def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in chunks(rows, most=2 << 20):
+            for part in chunks(rows, most=1 << 20):
                 ids, at = encode(part.column(1))
                 row, start, length, crc, total, kept = [], [], [], [], [], []
                 for i in range(part.num_rows):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +14,13 @@ from pyspark.sql import functions as F
 from linkwright.operators.checkpoint import saved, shared_folder
 
 
+def release() -> None:
+    """What the allocators keep of freed buffers goes back: a worker outlives its task, and its memory counts while later ones run."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+        c.malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """mapInArrow with state for each task: make() is called once in it, its result for each batch."""
 
@@ -20,6 +29,8 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
+        each = batch = None
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -104,4 +115,4 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return kept.withColumn("rank", table[F.col("_part")] + F.col("_in")).drop("_part", "_in")
 
 
-__all__ = ["BROADCAST_ROWS", "columns_of", "fetched", "free_shuffles", "arrow_map", "arrow_type", "batch", "id_type", "numbered", "rest_of", "saved", "shared_folder", "shuffle_tasks"]
+__all__ = ["BROADCAST_ROWS", "columns_of", "fetched", "free_shuffles", "arrow_map", "arrow_type", "batch", "id_type", "numbered", "release", "rest_of", "saved", "shared_folder", "shuffle_tasks"]

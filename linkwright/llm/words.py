@@ -208,3 +208,42 @@ class Lookup:
             out[todo] = found
             todo = todo[(self.keys[found] != wanted[todo]) & (found != none)]
         return np.where(out == none, -1, out)
+
+
+class Places:
+    """Numbers 0, 1, ... for 64-bit hashes in the order they are added: open addressing that grows, 16 to 28 bytes a hash."""
+
+    def __init__(self):
+        self.n, self.keys, self.slots = 0, np.empty(1 << 12, _U), np.full(1 << 14, -1, np.int32)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Number of each hash, or -1."""
+        mask = np.int64(len(self.slots) - 1)
+        out = np.full(len(wanted), -1, np.int64)
+        todo, at = np.arange(len(wanted)), wanted.view(np.int64) & mask
+        while len(todo):
+            found = self.slots[at]
+            out[todo] = np.where((found >= 0) & (self.keys[found] == wanted[todo]), found, -1)
+            left = (found >= 0) & (out[todo] < 0)
+            todo, at = todo[left], (at[left] + 1) & mask
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct hashes that have no number yet."""
+        first, self.n = self.n, self.n + len(keys)
+        if self.n > len(self.keys):
+            self.keys = np.concatenate([self.keys[:first], np.empty(max(self.n, len(self.keys) * 3 // 2) - first, _U)])
+        self.keys[first : self.n] = keys
+        if self.n > len(self.slots) // 2:
+            first, self.slots = 0, np.full(1 << (self.n * 2).bit_length(), -1, np.int32)
+        mask = np.int64(len(self.slots) - 1)
+        todo = np.arange(first, self.n, dtype=np.int32)
+        at = self.keys[first : self.n].view(np.int64) & mask
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]  # of several at one slot, the last stays
+            lost = self.slots[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & mask
